@@ -234,7 +234,7 @@ def scan_licenses(docs: DataFrame, *, templates: Sequence[tuple[str, str]] = TEM
 def scan_sql() -> str:
     """The same rows in DuckDB SQL, by regular expressions instead of automata."""
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    at = [f"list_filter(range(len(w)), i -> {' AND '.join(f'''w[i + {k + 1}] = '{x}' ''' for k, x in enumerate(phrase.split()))})" for _, phrase in BASE]
+    at = [f"list_filter(range(len(w)), lambda i: {' AND '.join(f'''w[i + {k + 1}] = '{x}' ''' for k, x in enumerate(phrase.split()))})" for _, phrase in BASE]
     cases = [(label, f"regexp_matches(j, '{token_pattern(t)}')", confidence(t)) for label, t in (*BASE, *TEMPLATES)]
     labels = sorted({label for label, _, _ in cases})
     some = ", ".join(f"CASE WHEN {' OR '.join(c for n, c, _ in cases if n == label)} THEN '{label}' END" for label in labels)
@@ -243,6 +243,6 @@ def scan_sql() -> str:
     return (
         f"WITH t AS (SELECT doc_id, {words} AS w FROM documents), j AS (SELECT doc_id, w, array_to_string(w, ' ') || ' ' AS j, {' || '.join(at)} AS p FROM t) "
         "SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(p) AS BIGINT) AS first_word, CAST(list_max(p) AS BIGINT) AS last_word, "
-        f"array_to_string(list_filter([{base}], x -> x IS NOT NULL), ',') AS base_labels, array_to_string(list_filter([{some}], x -> x IS NOT NULL), ',') AS labels, "
+        f"array_to_string(list_filter([{base}], lambda x: x IS NOT NULL), ',') AS base_labels, array_to_string(list_filter([{some}], lambda x: x IS NOT NULL), ',') AS labels, "
         f"CAST(greatest({best}) AS DOUBLE) AS score FROM j"
     )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import tables
+from tessera.llm.license import scan_sql
+from tessera.llm.linedup import dedup_sql
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +63,40 @@ WITH RECURSIVE d AS (
 SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN before + size / 2.0 < target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f
 """
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.linedup import dedup_lines
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import fit_quality, score_quality
+
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return score_quality(docs.select("doc_id", "text"), fit_quality(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html import extract_main_text
+
+    (pages,) = tables(spark, sf_dir, "pages")
+    return extract_main_text(pages)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.license import scan_licenses
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    return scan_licenses(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_mix_sources": op7_mix_sources,
+    "op8_html_main_text": op8_html_main_text,
+    "op9_license_scan": op9_license_scan,
 }
-ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": dedup_sql(), "op7_mix_sources": OP7_SQL, "op9_license_scan": scan_sql()}

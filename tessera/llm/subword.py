@@ -14,9 +14,18 @@ import numpy as np
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
 PIECE = 1 << 20
 
+
+class _Cache(dict):
+    """Filled anew in each process."""
+
+    def __reduce__(self) -> tuple:
+        return _Cache, ()
+
+
+_POWERS = _Cache()
+
 #: ASCII white space becomes a space.
 _SPACES = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
 
