@@ -20,6 +20,10 @@ from tessera.llm.sampling import held_out, labelled_sample
 from tessera.llm.subword import features, pieces
 
 
+#: A text's mean is taken over its features and so many neutral ones, so that a few words prove little.
+PRIOR = 20
+
+
 @dataclass(frozen=True)
 class Model:
     """Difference of the two classes' logits: bias plus the mean of ``table`` over a text's features."""
@@ -35,31 +39,34 @@ class Model:
         for first, last, data, starts in pieces(texts):
             total = np.zeros(last - first)
             count = np.zeros(last - first)
-            for at, bucket in features(data, self.sizes, self.buckets):
+            for at, bucket in features(data, starts, self.sizes, self.buckets):
                 bounds = np.searchsorted(at, np.append(starts, len(data)))
                 run = np.concatenate(([0.0], np.cumsum(self.table[bucket])))
                 total += np.diff(run[bounds])
                 count += np.diff(bounds)
-            out[first:last] = self.bias + total / np.maximum(count, 1)
+            out[first:last] = self.bias + total / (count + PRIOR)
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def train(texts: Sequence[str], labels: Sequence[int], *, sizes: tuple[int, ...] = (3, 4), buckets: int = 1 << 15, width: int = 10, epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """Learn the embeddings. Without labelled texts of both classes: the share of label 1 for all."""
+def train(texts: Sequence[str], labels: Sequence[int], *, sizes: tuple[int, ...] = (3, 4), buckets: int = 1 << 15, width: int = 10, epochs: int = 6, rate: float = 0.5, odds: float = 1.0, seed: int = 7) -> Model:
+    """Learn the embeddings. ``odds``: those of label 1 in the corpus over those in the sample.
+
+    Without labelled texts of both classes: the share of label 1 for all.
+    """
     rng = np.random.default_rng(seed)
-    rows = (len(sizes) + 1) * buckets
+    rows = (len(sizes) + 1) * buckets + 1
     y = np.asarray(labels, dtype=np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(rows), float(np.log(share / (1 - share))), sizes, buckets)
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     for first, last, data, starts in pieces(texts, 1 << 16):
-        got = features(data, sizes, buckets)
+        got = features(data, starts, sizes, buckets)
         at, bucket = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         doc = np.searchsorted(starts, at, side="right") - 1
         for k in range(last - first):
             ids, counts = np.unique(bucket[doc == k], return_counts=True)
-            bags.append((ids, counts / max(1, counts.sum())))
+            bags.append((ids, counts / (counts.sum() + PRIOR)))
     e = rng.uniform(-1 / width, 1 / width, (rows, width))
     w = np.zeros((2, width))
     b = np.zeros(2)
@@ -79,13 +86,14 @@ def train(texts: Sequence[str], labels: Sequence[int], *, sizes: tuple[int, ...]
             # A mean dilutes each row's gradient by its share; dividing by the largest share keeps steps of the same order for long texts.
             e[ids] -= lr * np.outer(share_of / max(1e-12, share_of.max()), back)
             done += 1
-    return Model(e @ (w[1] - w[0]), float(b[1] - b[0]), sizes, buckets)
+    return Model(e @ (w[1] - w[0]), float(b[1] - b[0] + np.log(odds)), sizes, buckets)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 4, remainder: int = 2, rows: int = 1200, longest: int = 20_000) -> Model:
     """Fit on a bounded sample: at most ``rows`` texts of each class, of at most ``longest`` characters, outside the held-out fold."""
-    texts, y = labelled_sample(docs, labels, label, modulus=modulus, remainder=remainder, rows=rows, longest=longest)
-    return train(texts, y)
+    texts, y, share = labelled_sample(docs, labels, label, modulus=modulus, remainder=remainder, rows=rows, longest=longest)
+    odds = share / (1 - share) * (len(y) - sum(y)) / max(1, sum(y)) if 0 < sum(y) < len(y) else 1.0
+    return train(texts, y, odds=odds)
 
 
 def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.7, modulus: int = 4, remainder: int = 2) -> DataFrame:

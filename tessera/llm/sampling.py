@@ -11,8 +11,8 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % modulus) == remainder, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus: int, remainder: int, rows: int, longest: int, seed: int = 11) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``rows`` documents of each class outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus: int, remainder: int, rows: int, longest: int, seed: int = 11) -> tuple[list[str], list[int], float]:
+    """Texts and labels of at most ``rows`` documents of each class outside the held-out fold, and the share of label 1 in all of it.
 
     Chosen by a hash of the id, so reruns agree; texts of more than ``longest``
     characters are not sampled, so the driver gets at most
@@ -27,4 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(*order))).where(F.col("r") <= rows).orderBy("doc_id")
     got = found.select("text", "y").collect()
-    return [r["text"] for r in got], [r["y"] for r in got]
+    ones, every = ids.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    return [r["text"] for r in got], [r["y"] for r in got], (ones + 1) / (every + 2)

@@ -77,16 +77,18 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h * _MIX
 
 
-def features(data: bytes, sizes: Sequence[int], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(position, bucket) of each feature: words first, then the byte n-grams inside words.
+def features(data: bytes, texts: np.ndarray, sizes: Sequence[int], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(position, bucket) of each feature: words first, then the byte n-grams inside words, last the word bigrams of one word with itself.
 
     A word's border counts as a character of its n-grams. Kind k has the buckets
-    from k * buckets on.
+    from k * buckets on; the bigrams of equal words share one bucket after all
+    others. ``texts`` holds the texts' starts, which no bigram crosses.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     shift = np.uint64(64 - buckets.bit_length() + 1)
     starts, ends = word_spans(raw)
-    out = [(starts, (word_hashes(raw, starts, ends) >> shift).astype(np.int64))]
+    hashes = word_hashes(raw, starts, ends)
+    out = [(starts, (hashes >> shift).astype(np.int64))]
     inner = raw != 32
     for kind, n in enumerate(sizes, 1):
         if len(raw) < n:
@@ -100,4 +102,7 @@ def features(data: bytes, sizes: Sequence[int], buckets: int) -> list[tuple[np.n
         for j in range(1, n):
             gram |= raw[at + j].astype(np.uint64) << np.uint64(8 * j)
         out.append((at, ((gram * _MIX) >> shift).astype(np.int64) + kind * buckets))
+    again = np.flatnonzero(hashes[1:] == hashes[:-1]) + 1
+    again = again[np.searchsorted(texts, starts[again], side="right") == np.searchsorted(texts, starts[again - 1], side="right")]
+    out.append((starts[again], np.full(len(again), (len(sizes) + 1) * buckets)))
     return out
