@@ -19,7 +19,9 @@ How the work stays linear in hot groups
   member with the least e (the most central text) is compared with all others:
   whoever fails e(pivot)+e(y) <= 0 can have no partner in that list at all.
 * Members that could be but are not linked with the pivot, nor in its component
-  by another way, are compared with the remaining list members in full.
+  by another way, are searched for in full: a partner shares at least one of the
+  rarest shingles of such a set, as many as the overlap that a link of these two
+  sizes needs leaves over, so these few shingles are looked up in all sets.
 
 No list is capped or sampled and no list's pairs are enumerated as such.
 """
@@ -113,8 +115,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
 
     placed = lists_e.join(first, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     centre = pivots.join(first.withColumnRenamed("node", "p"), "p", "left").select("v", "pe", F.coalesce("component", "p").alias("pg"))
-    failed = placed.join(centre, "v").where("g <> pg AND e + pe <= 0").select("v", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("e").alias("ye"), F.col("g").alias("yg"))
-    rest = placed.join(failed, "v").where((F.col("g") != F.col("yg")) & (F.col("e") + F.col("ye") <= 0) & sized("n", "yn"))
+    failed = placed.join(centre, "v").where("g <> pg AND e + pe <= 0").select("node", "n", "e", "g").distinct()
+    failed = stored(failed.join(sets, "node").select(F.col("node").alias("y"), F.col("n").alias("yn"), F.col("e").alias("ye"), F.col("g").alias("yg"), F.explode("s").alias("v")), "nd-failed")
+    tokens = sets.select("node", F.explode("s").alias("v")).join(failed.select("v").distinct(), "v", "left_semi")
+    tokens = stored(tokens, "nd-tokens")
+    often = tokens.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
+    rare = failed.join(often, "v").withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("f", "v")))
+    rare = rare.where(F.col("r") <= F.col("yn") - F.ceil(F.col("yn") * num / den) + 1)
+    facts = placed.select("node", "n", "e", "g").distinct()
+    overlap = F.ceil((F.col("n") + F.col("yn")) * num / (num + den))
+    rest = tokens.join(facts, "node").join(rare, "v").where((F.col("g") != F.col("yg")) & (F.col("e") + F.col("ye") <= 0) & sized("n", "yn") & (F.col("r") <= F.col("yn") - overlap + 1))
     rest = rest.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct().join(hub, ["a", "b"], "left_anti")
     more = stored(_verified(rest, sketches, sets, num, den), "nd-links")
     # Components contracted so far are the nodes of the second search.
