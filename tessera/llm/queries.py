@@ -91,9 +91,27 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(docs)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, labels = tables(spark, sf_dir, "documents", "labels")
+    return score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontam import find_passages
+
+    docs, benchmark = tables(spark, sf_dir, "documents", "benchmark")
+    found = find_passages(docs.select("doc_id", "text"), benchmark)
+    items = F.array_join(F.transform("matches", lambda m: F.coalesce(m[0].cast("string"), F.lit("?"))), ",")
+    return found.select("doc_id", "contaminated", F.size("matches").cast("long").alias("n_items"), items.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m[3])).alias("least_edits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_mix_sources": op7_mix_sources,
     "op8_html_main_text": op8_html_main_text,
