@@ -107,14 +107,30 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "contaminated", F.size("matches").cast("long").alias("n_items"), items.alias("item_ids"), F.array_min(F.transform("matches", lambda m: m[3])).alias("least_edits"))
 
 
+def op3_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ann import nearest
+
+    (vectors,) = tables(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import fit_forest, labelled_findings, scan_secrets
+
+    (docs,) = tables(spark, sf_dir, "documents")
+    return scan_secrets(docs, fit_forest(labelled_findings(spark)), path=F.col("source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_anisotropic_neighbours": op3_anisotropic_neighbours,
     "op4_line_dedup": op4_line_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_mix_sources": op7_mix_sources,
     "op8_html_main_text": op8_html_main_text,
     "op9_license_scan": op9_license_scan,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {"op1_minhash_near_dedup": OP1_SQL, "op4_line_dedup": dedup_sql(), "op7_mix_sources": OP7_SQL, "op9_license_scan": scan_sql()}
