@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_GAP
+from tessera.llm.common import WORD_GAP, stored
 
 #: Shortest candidate.
 SHORTEST = 16
@@ -41,16 +41,19 @@ FEATURES = [
 ]
 
 
-def candidates(text: Column) -> Column:
-    """Array of (word, c, before, after, place): each word with a key-like run, the run, the three words before and one after, and the word's number from 0."""
-    gap = F.split(F.coalesce(text, F.lit("")), WORD_GAP)
-    at = F.filter(F.sequence(F.lit(0), F.size(gap) - 1), lambda i: (F.length(gap[i]) >= SHORTEST) & gap[i].rlike(_RUN))
+def candidates(rows: DataFrame) -> DataFrame:
+    """Explode the column ``text`` of ``rows`` into word, c, before, after, place: each word with a key-like run, the run, the three words before and one after, and the word's number from 0."""
+    keep = [c for c in rows.columns if c != "text"]
+    # The words are a column of their own: inside the lambda functions an expression would be evaluated for each of them.
+    split = rows.select(*keep, F.split(F.coalesce("text", F.lit("")), WORD_GAP).alias("w"))
+    w = F.col("w")
+    at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(w[i]) >= SHORTEST) & w[i].rlike(_RUN))
 
     def found(i: Column) -> Column:
-        before = F.array_join(F.slice(gap, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
-        return F.struct(gap[i].alias("word"), F.regexp_extract(gap[i], _RUN, 1).alias("c"), before.alias("before"), F.coalesce(F.get(gap, i + 1), F.lit("")).alias("after"), i.cast("long").alias("place"))
+        before = F.array_join(F.slice(w, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
+        return F.struct(w[i].alias("word"), F.regexp_extract(w[i], _RUN, 1).alias("c"), before.alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"), i.cast("long").alias("place"))
 
-    return F.transform(at, found)
+    return split.select(*keep, F.explode(F.transform(at, found)).alias("f")).select(*keep, "f.*")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -96,9 +99,18 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     """
     r = spark.range(rows)
     md = lambda salt: F.md5(F.concat(F.col("id").cast("string"), F.lit(salt)))
-    pick = lambda items, salt: F.element_at(F.array(*[F.lit(x) for x in items]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(items))) + 1).cast("int"))
-    hex40, hex64 = F.substring(F.concat(md("a"), md("b")), 1, 40), F.concat(md("a"), md("b"))
-    base = F.substring(F.translate(F.base64(F.unhex(F.concat(md("c"), md("d")))), "+/=", "-_A"), 1, 40)
+    drawn: dict[str, Column] = {
+        "hex40": F.substring(F.concat(md("a"), md("b")), 1, 40), "hex64": F.concat(md("a"), md("b")), "hex32": md("a"),
+        "base": F.substring(F.translate(F.base64(F.unhex(F.concat(md("c"), md("d")))), "+/=", "-_A"), 1, 40),
+    }
+
+    def pick(items: list[str], salt: str) -> Column:
+        """A column with one of the items for each row."""
+        name = f"pick_{salt}_{len(drawn)}"
+        drawn[name] = F.element_at(F.array(*[F.lit(x) for x in items]), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(items))) + 1).cast("int"))
+        return F.col(name)
+
+    hex40, hex64, hex32, base = (F.col(c) for c in ("hex40", "hex64", "hex32", "base"))
     words = [w for w in WORDS if len(w) > 3]
     syllable = F.concat(*[pick(PAIRS, f"s{k}") for k in range(10)])
     joined = F.concat_ws("_", pick(words, "w1"), pick(words, "w2"), pick(words, "w3"), pick(words, "w4"))
@@ -109,19 +121,19 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     assigned = F.concat_ws(" ", pick(words, "q"), name, F.trim(sign))
     quote = lambda c: F.concat(F.lit('"'), c, pick(['"', '",', '";', '"!!', '".'], "z"))
     kinds = [
-        (hex40, assigned, True, 1), (F.upper(hex40), assigned, True, 1), (md("a"), assigned, True, 1), (hex64, assigned, False, 1), (base, assigned, True, 1), (base, assigned, False, 1),
+        (hex40, assigned, True, 1), (F.upper(hex40), assigned, True, 1), (hex32, assigned, True, 1), (hex64, assigned, False, 1), (base, assigned, True, 1), (base, assigned, False, 1),
         (F.concat(pick(["AKIA", "ghp_", "sk_live_", "xoxb-"], "pre"), F.upper(F.substring(base, 1, 24))), plain, False, 1), (F.concat(pick(["ghp_", "sk_live_", "glpat-"], "pre"), base), assigned, True, 1),
         (F.translate(hex40, "abcdef", "123456"), plain, False, 0), (F.substring(F.translate(hex40, "abcdef", "123456"), 1, 16), plain, False, 0), (F.substring(F.translate(hex40, "abcdef", "123456"), 1, 16), assigned, False, 0),
-        (hex40, F.concat_ws(" ", plain, other), False, 0), (md("a"), F.concat_ws(" ", plain, other), True, 0), (joined, assigned, True, 0), (joined, plain, False, 0), (syllable, plain, False, 0), (syllable, assigned, True, 0),
-        (F.initcap(syllable), plain, False, 0), (F.upper(syllable), plain, False, 0), (F.concat(F.repeat(F.lit("x"), 20), F.substring(md("a"), 1, 2)), assigned, True, 0), (F.lit("your_api_key_goes_here"), assigned, True, 0), (F.concat_ws("/", pick(words, "w1"), pick(words, "w2"), syllable), plain, False, 0),
+        (hex40, F.concat_ws(" ", plain, other), False, 0), (hex32, F.concat_ws(" ", plain, other), True, 0), (joined, assigned, True, 0), (joined, plain, False, 0), (syllable, plain, False, 0), (syllable, assigned, True, 0),
+        (F.initcap(syllable), plain, False, 0), (F.upper(syllable), plain, False, 0), (F.concat(F.repeat(F.lit("x"), 20), F.substring(hex32, 1, 2)), assigned, True, 0), (F.lit("your_api_key_goes_here"), assigned, True, 0), (F.concat_ws("/", pick(words, "w1"), pick(words, "w2"), syllable), plain, False, 0),
     ]
-    out = None
-    for k, (c, before, quoted, label) in enumerate(kinds):
-        part = r.where(F.col("id") % len(kinds) == k).select(
-            (quote(c) if quoted else c).alias("word"), c.alias("c"), before.alias("before"), pick(["", "and", "the", "for", "}", "#"], "f").alias("after"), pick(["src", "config", "src0", "app", "tests"], "path").alias("path"), F.lit(label).alias("label")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind = F.col("id") % len(kinds)
+    word, run, before, label = (F.lit(None) for _ in range(4))
+    for k, (c, beside, quoted, y) in enumerate(kinds):
+        word, run = F.when(kind == k, quote(c) if quoted else c).otherwise(word), F.when(kind == k, c).otherwise(run)
+        before, label = F.when(kind == k, beside).otherwise(before), F.when(kind == k, F.lit(y)).otherwise(label)
+    after, path = pick(["", "and", "the", "for", "}", "#"], "f"), pick(["src", "config", "src0", "app", "tests"], "path")
+    return stored(r.withColumns(drawn).select(word.alias("word"), run.alias("c"), before.alias("before"), after.alias("after"), path.alias("path"), label.alias("label")), "secret-findings")
 
 
 def fit_forest(findings: DataFrame, *, trees: int = 24, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
@@ -142,8 +154,7 @@ def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, *, pa
     read, and an empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.col("text"))
-    found = rows.select("doc_id", "path", F.explode(candidates(F.col("text"))).alias("f")).select("doc_id", "path", "f.*")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(found).select("doc_id", "place", "c", *FEATURES))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(rows)).select("doc_id", "place", "c", *FEATURES))
     scored = forest.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     masked = F.concat(F.substring("c", 1, 2), F.lit("..."), F.substring("c", -2, 2))
     return scored.select("doc_id", "place", F.length("c").cast("long").alias("length"), masked.alias("masked"), "score", (F.col("score") >= threshold).alias("secret"))
