@@ -41,8 +41,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     run = with_w.withColumn("cap", cap)
     run = run.withColumn("full", F.sum("cap").over(fills.rowsBetween(Window.unboundedPreceding, -1))).withColumn("left_w", F.sum("weight").over(fills.rowsBetween(0, Window.unboundedFollowing)))
     run = run.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce("full", F.lit(0.0))) / F.col("left_w"))
-    # The level that holds is that of the first source which it doesn't fill up.
-    run = run.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+    # The level that holds is that of the first source which it doesn't fill up, and the largest of those that fill up no source of their own.
+    run = run.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
     return run.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
 
 

@@ -54,7 +54,7 @@ WITH RECURSIVE d AS (
          coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
          sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_w FROM s
 ), lv AS (SELECT *, CAST((total - full_before) / left_w AS DOUBLE) AS lev FROM fill
-), t AS (SELECT source, source_size, least(cap, coalesce(min(CASE WHEN lev * weight <= cap THEN lev END) OVER () * weight, cap)) AS target FROM lv
+), t AS (SELECT source, source_size, least(cap, coalesce(max(CASE WHEN lev * weight <= cap THEN lev END) OVER () * weight, cap)) AS target FROM lv
 ), k AS (
   SELECT d.*, t.source_size, CAST(t.target AS DOUBLE) AS target,
          sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
