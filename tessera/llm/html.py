@@ -21,7 +21,9 @@ Which text stays
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
-
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title xmp".split())
@@ -136,7 +136,9 @@ def _names(tokens: list[tuple[str, str | None, int]], depth: int) -> np.ndarray:
     """Names of the substrings of ``depth`` tokens (a power of two), by doubling; one for each start at which the stream has as many."""
     if len(tokens) < depth:
         return np.empty(0, np.int64)
-    name = pd.util.hash_array(np.array([t[0] for t in tokens], dtype=object), categorize=False)
+    names = np.empty(len(tokens), dtype=object)
+    names[:] = [t[0] for t in tokens]
+    name = pd.util.hash_array(names, categorize=False)
     h = 1
     with np.errstate(over="ignore"):
         while h < depth:
@@ -145,49 +147,78 @@ def _names(tokens: list[tuple[str, str | None, int]], depth: int) -> np.ndarray:
     return name.view(np.int64)
 
 
+def _outside_names(page: str | None, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and places of the substrings that hold a token outside of the article; what lies inside is never template."""
+    tokens = page_tokens(page)
+    names = _names(tokens, depth)
+    inside = np.array([z == INSIDE for _, _, z in tokens], dtype=np.int64)
+    whole = np.convolve(inside, np.ones(depth, dtype=np.int64), "valid") == depth if len(names) else np.empty(0, dtype=bool)
+    at = np.flatnonzero(~whole)
+    return names[at], at
+
+
+def _packed(page: str | None) -> bytes:
+    """What later decides the text: the text itself if the page marks its article, or else its blocks with their places."""
+    tokens = page_tokens(page)
+    if any(z == INSIDE for _, _, z in tokens):
+        kept = "\n\n".join(t for _, t, z in tokens if t is not None and z == INSIDE)
+    else:
+        kept = [[k, t] for k, (_, t, z) in enumerate(tokens) if t is not None and z == OUTSIDE]
+    return zlib.compress(json.dumps([len(tokens), kept], ensure_ascii=False).encode("utf-8", "surrogatepass"), 3)
+
+
 def extract_main_text(pages: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     """Main text of each row of ``pages`` (page_id, url, html).
 
     Returns page_id, url, text (blocks in page order, joined by two newlines; empty
-    if none), n_chars (code points of text), n_tokens and n_covered (tokens of the
-    stream, and those that a substring repeated on a distinct page of the host
-    covers). Null html is an empty page; pages with a null or odd url share the
-    empty host; null page_ids pass through. Repeated rows count as one page and
-    each give a row. Other columns are not read; an empty table gives an empty
-    table. ``depth`` is a power of two.
+    if none), n_chars (code points of text), n_tokens (of the page's stream) and
+    n_covered (those of substrings that reach outside of the article and that a
+    distinct page of the host repeats). Null html is an empty page; pages with a
+    null or odd url share the empty host; null page_ids pass through. Repeated rows
+    count as one page and each give a row. Other columns are not read; an empty
+    table gives an empty table. ``depth`` is a power of two.
+
+    Pages are parsed anew for each use, which costs less than keeping and moving
+    the streams; only suffix names and compressed main texts are shuffled.
     """
     if depth & (depth - 1) or depth < 1:
         raise ValueError("depth must be a power of two")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    pages = pages.withColumn("uid", F.xxhash64("page_id", "url", "html")).withColumn("host", F.xxhash64(host))
+    pages = pages.withColumn("uid", F.xxhash64("page_id", "url", "html"))
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo : lo + 200]
-                names = [_names(page_tokens(h), depth) for h in part["html"]]
-                sizes = [len(n) for n in names]
-                yield pd.DataFrame({"host": np.repeat(part["host"].to_numpy(), sizes), "name": np.concatenate(names) if names else [], "uid": np.repeat(part["uid"].to_numpy(), sizes), "pos": np.concatenate([np.arange(n) for n in sizes] or [[]]).astype("int32")})
+                got = [_outside_names(h, depth) for h in part["html"]]
+                sizes = [len(n) for n, _ in got]
+                yield pd.DataFrame({"host": np.repeat(part["host"].to_numpy(), sizes), "name": np.concatenate([n for n, _ in got]), "uid": np.repeat(part["uid"].to_numpy(), sizes), "pos": np.concatenate([p for _, p in got]).astype("int32")})
+
+    array = pages.select(F.xxhash64(host).alias("host"), "uid", "html").mapInPandas(suffixes, "host long, name long, uid long, pos int")
+    array = array.select(F.xxhash64("host", "name").alias("suffix"), "uid", "pos")
+    repeated = array.groupBy("suffix").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a <> b").select("suffix")
+    covered = array.join(repeated, "suffix", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("at"))
 
-    array = stored(pages.select("host", "uid", "html").mapInPandas(suffixes, "host long, name long, uid long, pos int"), "html-suffixes")
-    repeated = array.groupBy("host", "name").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a <> b").select("host", "name")
-    covered = array.join(repeated, ["host", "name"], "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("at"))
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "uid": batch["uid"], "packed": [_packed(h) for h in batch["html"]]})
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page, at in zip(batch["html"], batch["at"], strict=True):
-                tokens = page_tokens(page)
-                hit = np.zeros(len(tokens) + depth, dtype=bool)
+            for packed, at in zip(batch["packed"], batch["at"], strict=True):
+                size, kept = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+                hit = np.zeros(size + depth, dtype=bool)
                 if at is not None:
                     where = np.asarray(at, dtype=np.int64)
                     for k in range(depth):
                         hit[where + k] = True
-                inside = any(z == INSIDE for _, _, z in tokens)
-                keep = [t for (_, t, z), h in zip(tokens, hit, strict=False) if t is not None and (z == INSIDE if inside else z == OUTSIDE and not h)]
-                rows.append(("\n\n".join(keep), len(tokens), int(hit[: len(tokens)].sum())))
-            got = pd.DataFrame(rows, columns=["text", "n_tokens", "n_covered"])
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": got["text"].to_numpy(), "n_chars": got["text"].str.len().astype("int64").to_numpy(), "n_tokens": got["n_tokens"].to_numpy(), "n_covered": got["n_covered"].to_numpy()})
-
-    return pages.join(covered, "uid", "left").select("page_id", "url", "html", "at").mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")
+                if not isinstance(kept, str):
+                    kept = "\n\n".join(t for k, t in kept if not hit[k])
+                rows.append((kept, len(kept), size, int(hit.sum())))
+            got = pd.DataFrame(rows, columns=["text", "n_chars", "n_tokens", "n_covered"])
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], **{c: got[c].to_numpy() for c in got}})
+
+    packed = pages.mapInPandas(pack, "page_id long, url string, uid long, packed binary")
+    return packed.join(covered, "uid", "left").select("page_id", "url", "packed", "at").mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")
