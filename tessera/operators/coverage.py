@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,10 @@ def first_of_rank(lineage: Column, rank: str) -> Column:
     return F.get(F.filter(lineage, lambda x: x["rank"] == rank), F.lit(0))["taxid"]
 
 
+def _named(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: x["name"].rlike(pattern)
+
+
 def observations(observed: DataFrame, nodes: DataFrame, aliases: DataFrame, wanted: DataFrame, *, ranks: Sequence[str], without: Sequence[int] = (), exclude_extinct: bool = True, exclude_names: Sequence[str] = (), source: str = "NCBI") -> DataFrame:
     """Resolve observations (organism_id, taxonomy_source, taxon_id text) and give each one reason of exclusion, the first that applies; accepted ones have none.
 
@@ -68,7 +72,7 @@ def observations(observed: DataFrame, nodes: DataFrame, aliases: DataFrame, want
     if exclude_extinct:
         ladder = ladder.when(F.exists("lineage", lambda x: F.coalesce(x["extinct"] == 1, F.lit(False))), "EXCLUDED_EXTINCT")
     for pattern in exclude_names:
-        ladder = ladder.when(F.exists("lineage", lambda x, p=pattern: x["name"].rlike(p)), "EXCLUDED_NAME_PATTERN")
+        ladder = ladder.when(F.exists("lineage", _named(pattern)), "EXCLUDED_NAME_PATTERN")
     if without:
         ladder = ladder.when(F.exists("lineage", lambda x: x["taxid"].isin(*without)), "EXCLUDED_SUBTREE")
     ladder = ladder.when(~either(any_rank), "MISSING_TARGET_RANK").when(~either(any_hit), "OUTSIDE_REFERENCE_SCOPE")

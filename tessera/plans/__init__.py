@@ -1,6 +1,11 @@
-"""Queries over the driver's tables, each built from the library's operators."""
+"""Queries over the driver's tables, each built from the library's operators, with DuckDB SQL of the same rows."""
 
 from __future__ import annotations
 
+from tessera.plans import features, records, select, text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (features, records, select, text):
+    QUERIES |= _module.Q
+    ORACLES |= _module.S

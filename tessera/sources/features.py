@@ -22,7 +22,7 @@ def attribute_map(text: Column, dialect: str = "gff3") -> Column:
     GFF3 ``key=value`` is percent-decoded. GTF ``key "value"`` is not; ``key=value`` is
     taken there as well.
     """
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda p: (p != "") & (p != "."))
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: (p != "") & (p != "."))
     eq = lambda p: F.instr(p, "=")
 
     def pair(p: Column) -> Column:
