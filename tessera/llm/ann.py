@@ -108,16 +108,23 @@ def fit_codebook(x: np.ndarray, *, width: int = 2, threshold: float = 0.2, round
     return Codebook(centres, eta)
 
 
-def scan(tables: np.ndarray, packed: np.ndarray, most: int) -> np.ndarray:
-    """Row numbers of the ``most`` best approximate scores for each query."""
-    out = np.empty((len(tables), min(most, len(packed))), dtype=np.int64)
+def scan(tables: np.ndarray, packed: np.ndarray, most: int) -> list[np.ndarray]:
+    """Row numbers of the ``most`` best approximate scores for each query, and of all that tie with the last of them.
+
+    Near-identical vectors share codes and so scores: all of them are reranked.
+    """
+    out = []
     columns = np.ascontiguousarray(packed.T)
     for lo in range(0, len(tables), 64):
         part = tables[lo : lo + 64]
         score = np.zeros((len(part), len(packed)), dtype=np.float32)
         for s in range(len(columns)):
             score += part[:, s].take(columns[s], axis=1)
-        out[lo : lo + 64] = np.argpartition(-score, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] < len(packed) else np.arange(len(packed))
+        if most >= len(packed):
+            out += [np.arange(len(packed))] * len(part)
+            continue
+        least = np.partition(score, len(packed) - most, axis=1)[:, len(packed) - most]
+        out += [np.flatnonzero(row >= floor) for row, floor in zip(score, least, strict=True)]
     return out
 
 
@@ -136,8 +143,8 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 5, id_col: str = "v
     Returns query_id, rank (from 1), vec_id, score (cosine of the original vectors
     in double precision), nearest first, ties to the smaller id. Codebooks are
     fitted to ``fit_rows`` rows chosen by a hash of the id; every row is indexed.
-    In each block of rows the ``rerank`` best by table scan are scored exactly, so
-    recall rises with the number of blocks.
+    In each block of rows the ``rerank`` best by table scan, and those that tie with
+    the last, are scored exactly, so recall rises with the number of blocks.
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do vectors of another length than the
