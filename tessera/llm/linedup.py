@@ -44,11 +44,11 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 
 def suffix_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
-    """Suffix array entries at the depth wanted: (name, doc_id, uid, a, b).
+    """Suffix array entries at the depth wanted: (name, doc_id, uid, a, b, ka, kb).
 
     For each line, the fewest lines from it on, and the fewest up to it, that have
     ``min_words`` words; ``name`` is equal for equal runs, a and b are the first
-    and last line.
+    and last line, ka and kb the same without counting blank lines.
     """
     levels = _levels(min_words)
     doc = Window.partitionBy("uid").orderBy("before")
@@ -61,22 +61,22 @@ def suffix_runs(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
         named = named.withColumn(f"n{h}", F.when(after.isNotNull(), F.xxhash64(F.col(half), after)))
     for h in levels:
         named = named.withColumn(f"e{h}", F.lag(f"n{h}", h - 1).over(doc) if h > 1 else F.col("n1"))
-    named = named.withColumn("after", F.col("before") + F.col("w"))
+    named = named.withColumn("after", F.col("before") + F.col("w")).withColumn("k", F.row_number().over(doc))
     ahead = doc.rangeBetween(0, min_words - 1)
     back = Window.partitionBy("uid").orderBy("after").rangeBetween(-(min_words - 1), 0)
 
-    def run(frame, start: Column, stop: Column, firsts: list[Column], lasts: list[Column]) -> Column:
+    def run(frame, start: Column, stop: Column, back: bool, firsts: list[Column], lasts: list[Column]) -> Column:
         m = F.count(F.lit(1)).over(frame)
         name = F.lit(None).cast("long")
         for h, first, last in zip(levels, firsts, lasts, strict=True):
             name = F.when(m >= h, F.xxhash64(m, first, last)).otherwise(name)
-        return F.when(F.sum("w").over(frame) >= min_words, F.struct(name.alias("name"), start.alias("a"), stop.alias("b")))
+        return F.when(F.sum("w").over(frame) >= min_words, F.struct(name.alias("name"), start.alias("a"), stop.alias("b"), (F.col("k") - (m - 1 if back else 0)).cast("int").alias("ka"), (F.col("k") + (0 if back else m - 1)).cast("int").alias("kb")))
 
     firsts, lasts = [F.col(f"n{h}") for h in levels], [F.col(f"e{h}") for h in levels]
-    forward = run(ahead, F.col("line"), F.last("line").over(ahead), firsts, [F.last(c).over(ahead) for c in lasts])
-    backward = run(back, F.first("line").over(back), F.col("line"), [F.first(c).over(back) for c in firsts], lasts)
+    forward = run(ahead, F.col("line"), F.last("line").over(ahead), False, firsts, [F.last(c).over(ahead) for c in lasts])
+    backward = run(back, F.first("line").over(back), F.col("line"), True, [F.first(c).over(back) for c in firsts], lasts)
     both = named.select("doc_id", "uid", F.array(forward, backward).alias("runs"))
-    return both.select("doc_id", "uid", F.explode(F.array_distinct(F.array_compact("runs"))).alias("r")).select("r.name", "doc_id", "uid", "r.a", "r.b")
+    return both.select("doc_id", "uid", F.explode(F.array_distinct(F.array_compact("runs"))).alias("r")).select("r.name", "doc_id", "uid", "r.a", "r.b", "r.ka", "r.kb")
 
 
 def later_copies(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
@@ -87,10 +87,10 @@ def later_copies(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     runs = stored(suffix_runs(docs, min_words=min_words), "ld-runs")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "a")
     heads = runs.groupBy("name").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("name", "head")
-    later = runs.join(heads, "name").where(place > F.col("head")).select("uid", "a", "b").distinct()
-    by_start = Window.partitionBy("uid").orderBy("a", "b")
-    reach = F.max("b").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    chained = later.withColumn("fresh", F.when(reach.isNull() | (F.col("a") > reach + 1), 1).otherwise(0)).withColumn("chain", F.sum("fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    later = runs.join(heads, "name").where(place > F.col("head")).select("uid", "a", "b", "ka", "kb").distinct()
+    by_start = Window.partitionBy("uid").orderBy("ka", "kb")
+    reach = F.max("kb").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    chained = later.withColumn("fresh", F.when(reach.isNull() | (F.col("ka") > reach + 1), 1).otherwise(0)).withColumn("chain", F.sum("fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return chained.groupBy("uid", "chain").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("uid", "a", "b")
 
 
@@ -100,7 +100,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 50) -> DataFrame:
     Keeps the columns and rows of ``docs`` (doc_id, text, ...) and adds n_lines,
     n_removed, n_runs (maximal runs deleted) and text_before; a clashing column of
     one of these names is replaced. Lines are what newlines separate; lines without
-    words join no run but go with a run around them. A run is a copy if an equal
+    words join no run, but go if the lines with words on either side of them go. A run is a copy if an equal
     sequence of lines starts earlier, in document order (doc_id, nulls last) or in
     the same document. Null texts stay null with 0 lines; empty texts have one
     line. Repeated rows are one document and lose the same lines; rows with one
@@ -135,6 +135,9 @@ WITH l AS (
   SELECT doc_id, first(line) OVER f AS a, line AS b, string_agg(t, chr(10)) OVER f AS run, sum(w) OVER f AS n FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN {last} PRECEDING AND CURRENT ROW)
 ), g AS (SELECT *, min((doc_id, a)) OVER (PARTITION BY md5(run)) AS head FROM r WHERE n >= {min_words}
 ), gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM g WHERE (doc_id, a) > head
-), k AS (SELECT l.doc_id, string_agg(t, chr(10) ORDER BY l.line) FILTER (WHERE gone.line IS NULL) AS text, count(*) AS n_lines, count(gone.line) AS n_removed FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line GROUP BY l.doc_id)
+), c AS (SELECT l.*, CASE WHEN p.line IS NOT NULL THEN gone.line IS NOT NULL END AS gone FROM l LEFT JOIN p ON p.doc_id = l.doc_id AND p.line = l.line LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line
+), x AS (
+  SELECT doc_id, t, line, coalesce(last(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AND first(gone IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), false) AS gone FROM c
+), k AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) FILTER (WHERE NOT gone) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM x GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, md5(CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END) AS text_md5 FROM documents d LEFT JOIN k USING (doc_id)
 """
