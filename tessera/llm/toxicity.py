@@ -258,7 +258,7 @@ def _fit_words(witness: Sequence[str], seen: Sequence[float], other: Sequence[st
     return Model(table, float(w[-1]), np.zeros(4), decay)
 
 
-def train(texts: Sequence[str], labels: Sequence[int], *, share: float = 0.1, decay: float = 0.6, landmarks: int = 160, counterexamples: int = 4000, ridge: float = 1.0, seed: int = 5) -> Model:
+def train(texts: Sequence[str], labels: Sequence[int], *, share: float = 0.1, decay: float = 0.6, landmarks: int = 160, counterexamples: int = 8000, ridge: float = 1.0, seed: int = 5) -> Model:
     """Fit machine and final weights; ``share``: that of label 1 in the corpus. Without both labels: ``share`` for all."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.int64)
@@ -272,10 +272,11 @@ def train(texts: Sequence[str], labels: Sequence[int], *, share: float = 0.1, de
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = {w: np.log((k + 0.1) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)) for w, k in toxic.items() if k >= max(3, 0.002 * n1) and len(w) >= 3}
     witness = sorted((w for w, o in odds.items() if o > 1.5), key=lambda w: (-toxic[w] * odds[w], w))
-    rest = sorted(w for w in clean if len(w) >= 3 and w not in odds)
+    favoured = set(witness)
+    rest = sorted(w for w in clean if len(w) >= 3 and w not in favoured)
     if not witness or not rest:
         return Model(np.zeros(SYMBOLS**3, dtype=np.float32), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0]), decay)
-    p = np.array([clean[w] for w in rest], dtype=float) ** 0.5
+    p = np.array([clean[w] for w in rest], dtype=float) ** 0.25
     other = [rest[i] for i in np.sort(rng.choice(len(rest), min(counterexamples, len(rest)), replace=False, p=p / p.sum()))]
     witness = witness[:600]
     model, hard = None, []
@@ -283,11 +284,9 @@ def train(texts: Sequence[str], labels: Sequence[int], *, share: float = 0.1, de
         marks = witness[: landmarks // 2] + hard[: landmarks // 4] + other[: landmarks // 4]
         model = _fit_words(witness, [toxic[w] for w in witness], hard + other, [1.0 + clean[w] for w in hard + other], marks, decay, ridge)
         # Words of clean texts that the machine marks are the next round's counterexamples.
-        values = model.decide(rest + sorted(odds.keys() - set(witness)))
-        pool = rest + sorted(odds.keys() - set(witness))
         taken = set(hard) | set(other)
-        found = [(v * (1 + clean[w]), w) for w, v in zip(pool, values, strict=True) if v > -0.3 and clean[w] and w not in taken]
-        hard = hard + [w for _, w in sorted(found, key=lambda x: (-x[0], x[1]))[:2000]]
+        found = [(v * (1 + clean[w]), w) for w, v in zip(rest, model.decide(rest), strict=True) if v > -0.3 and w not in taken]
+        hard = hard + [w for _, w in sorted(found, key=lambda x: (-x[0], x[1]))[:3000]]
     balance = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     model.final = _logistic(model.text_features(list(texts)), y.astype(float), balance)
     return model

@@ -1,0 +1,130 @@
+"""Licenses, secrets, benchmark passages, pages: rules, brute force, and odd rows."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tessera.llm.decontam import Passages, banded_distance, decontaminate, find_passages, normal
+from tessera.llm.html import extract_main_text
+from tessera.llm.license import BASE, TEMPLATES, Automaton, scan_licenses, token_pattern
+from tessera.llm.secrets import fit_forest, labelled_findings, scan_secrets
+
+
+def test_automata_accept_what_their_patterns_do():
+    rng = random.Random(2)
+    for _, template in TEMPLATES:
+        words = sorted(set(re.findall(r"[a-z0-9]+", re.sub(r"<<[^>]*>>", " ", template))))
+        pattern, machine = re.compile(token_pattern(template)), Automaton(template)
+        literal = [w for w in re.sub(r"<<opt>>|<<end>>|<<var:[^>]*>>", " ", template).split()]
+        plain = re.sub(r"<<opt>>.*?<<end>>|<<var:0-\d>>", " ", template).split()
+        for _ in range(60):
+            tokens = list(rng.choice([literal, plain]))
+            for _ in range(rng.randint(0, 2)):
+                tokens.insert(rng.randrange(len(tokens) + 1), rng.choice([*words, "zz"]))
+            if rng.random() < 0.3:
+                tokens.pop(rng.randrange(len(tokens)))
+            found = any(machine.accepts(tokens, i) >= 0 for i in range(len(tokens)))
+            assert found == bool(pattern.search(" ".join(tokens) + " ")), (template, tokens)
+
+
+def test_licenses(spark):
+    text = "Released under the MIT License. Licensed under the Apache\nLicense, Version 2.0; x CC-BY-NC and under the mit license"
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, "All rights reserved. Copyright"), (5, "under the terms of the MIT license"), (None, "cc by nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("labels", F.lit("clash")).withColumn("score", F.lit(1))
+    got = {(r["doc_id"], r["n_words"]): r for r in scan_licenses(docs).collect()}
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    places = [i for _, p in BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    one = got[1, len(words)]
+    assert (one["n_base"], one["first_word"], one["last_word"]) == (len(places), min(places), max(places)) and one["base_labels"] == "apache-2,cc-by-nc,mit"
+    assert got[2, 0]["labels"] == "" and got[2, 0]["first_word"] is None and got[3, 0]["score"] == 0
+    assert got[4, 4]["labels"] == "all-rights-reserved" and got[4, 4]["base_labels"] == ""
+    assert got[5, 7]["labels"] == "mit" and got[5, 7]["n_base"] == 0 and 0 < got[5, 7]["score"] <= 1
+    assert got[None, 3]["base_labels"] == "cc-by-nc"
+    assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_secrets(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'here token = "{key}" end'), (2, f"see commit {key} for it"), (3, "4111111111111111 and internationalisation-of-everything"), (4, None), (5, ""), (None, f"api_key: {key}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("clash"))
+    forest = fit_forest(labelled_findings(spark))
+    got = [(r["doc_id"], r["place"], r["secret"]) for r in scan_secrets(docs, forest).collect()]
+    assert sorted(got, key=str) == sorted([(1, 3, True), (2, 2, False), (3, 0, False), (3, 2, False), (None, 1, True)], key=str)
+    assert scan_secrets(spark.createDataFrame([], "doc_id long, text string"), forest).count() == 0
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    every = labelled_findings(spark, 9000).withColumn("h", F.pmod(F.xxhash64("c"), F.lit(3)))
+    from tessera.llm import secrets as s
+
+    forest = fit_forest(every.where("h > 0"))
+    rows = s.with_features(every.where("h = 0"))
+    scored = forest.transform(s.VectorAssembler(inputCols=s.FEATURES, outputCol="features").transform(rows))
+    assert scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
+
+
+def edit_in_text(passage, text):
+    """Least edits of the passage against any stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(passage, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_passages_against_full_alignment():
+    rng = random.Random(5)
+    letters = "abcdefgh  "
+    items = ["".join(rng.choice(letters) for _ in range(n)).strip() for n in (20, 45, 81, 130)]
+    found = Passages(list(range(4)), items)
+    for _ in range(60):
+        k = rng.randrange(4)
+        passage = list(normal(items[k]))
+        for _ in range(rng.randint(0, int(len(passage) * 0.14))):
+            at, kind = rng.randrange(len(passage)), rng.random()
+            passage[at : at + (kind < 0.7)] = [] if kind < 0.35 else [rng.choice("xyz")]
+        noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        text = noise(rng.randint(0, 60)) + "".join(passage) + noise(rng.randint(0, 60))
+        got = {m[0]: m[3] for m in found.find([text])[0]}
+        for i in range(4):
+            least = edit_in_text(normal(items[i]), normal(text))
+            assert (i in got) == (least <= found.budget[i]), (i, least, got)
+
+
+def test_banded_distance_finds_the_place():
+    import numpy as np
+
+    code = lambda s: np.array([ord(c) for c in s])
+    assert banded_distance(code("kitten"), code("xxsitten"), 0, 4, 2) == (1, 8)
+
+
+def test_decontamination(spark):
+    passage = "The quick brown fox jumps over the lazy dog near the old river bank"
+    bench = spark.createDataFrame([(1, passage), (2, None), (3, ""), (4, "short"), (None, "another passage that is long enough to be indexed here")], "item_id long, text string")
+    rows = [(1, f"A {passage.upper()} b"), (2, passage.replace("quick", "quikc").replace("\n", " ")), (3, "clean text of no interest"), (4, None), (5, ""), (6, "Another  passage that is\nlong enough to be indexed here"), (7, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit("clash"))
+    for size in (2_000_000, 40):
+        got = {r["doc_id"]: r for r in find_passages(docs, bench, pass_chars=size).collect()}
+        assert [i for i in got if got[i]["contaminated"]] == [1, 2, 6]
+        assert got[1]["matches"][0][0] == 1 and got[1]["matches"][0][3] == 0 and got[6]["matches"][0][0] is None
+    kept = decontaminate(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 7]
+    assert find_passages(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert find_passages(docs.limit(0), bench).count() == 0
+
+
+def test_pages(spark):
+    nav = '<nav><ul><li><a href="/x">Home</a></li><li>Menu</li></ul></nav><div class="ad">Buy &amp; sell</div>'
+    body = "<article><header>By me</header><h1>A &lt;title&gt;</h1><p><b>One\n  two<br>three<p>Four &copy; five<script>var x='</p>'</script><div class='comments'><p>nice</p></div></article>"
+    foot = "<footer>&copy; host</footer>"
+    page = f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>{nav}{body}{foot}</body></html>"
+    bare = lambda s: f"<html><body><div>Welcome here</div><div>Always the same words</div><p>{s}</p><div>And good bye</div><div>See you soon</div></body></html>"
+    rows = [(1, "http://a.example/1", page), (2, "http://a.example/2", page), (3, "http://b.example/1", bare("first text")), (4, "https://b.example:80/2?q", bare("second text")), (5, "http://c.example", None), (6, None, ""), (None, "odd", "plain words"), (7, "http://d.example", bare("alone"))]
+    got = {r["page_id"]: r for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))).collect()}
+    assert got[1]["text"] == got[2]["text"] == "A <title>\n\nOne two three\n\nFour © five"
+    assert (got[3]["text"], got[4]["text"]) == ("first text", "second text") and got[3]["n_covered"] > 0
+    assert got[5]["text"] == got[6]["text"] == "" and got[None]["text"] == "plain words" and "Welcome here" in got[7]["text"]
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
