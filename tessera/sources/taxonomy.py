@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Union of the field names under which reports give the same fact.
-JSON_SCHEMA = "taxId string, tax_id string, taxid string, parents array<string>, parentTaxId string, parent_tax_id string, rank string, currentScientificName struct<name:string>, scientific_name string, organism_name string, extinct boolean, secondaryTaxIds array<string>"
 
-
-def _whole(*names: str) -> Column:
-    return F.coalesce(*[F.col(n).try_cast("long") for n in names])
+def _first(column: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.get_json_object(column, p) for p in paths])
 
 
 def nodes_from_json(text: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(nodes, aliases) of one taxonomy object per line, under ``taxonomy`` or at the top.
+    """(nodes, aliases) of one taxonomy object per line, under ``taxonomy`` or at the top; facts go by several names.
 
     The first parent counts; a root is its own parent; ranks are lower case with
     underscores; secondary ids are aliases of the node.
     """
-    body = F.coalesce(F.get_json_object(column, "$.taxonomy"), F.col(column))
-    r = text.where(F.trim(column) != "").select(F.from_json(body, JSON_SCHEMA).alias("j")).select("j.*")
-    taxid = _whole("taxId", "tax_id", "taxid")
-    parent = F.coalesce(F.get("parents", F.lit(0)).try_cast("long"), _whole("parentTaxId", "parent_tax_id"), F.when(taxid == 1, 1))
-    rank = F.regexp_replace(F.lower(F.trim(F.coalesce("rank", F.lit("no rank")))), r"[\s-]+", "_")
-    name = F.coalesce("currentScientificName.name", "scientific_name", "organism_name")
-    nodes = r.select(taxid.alias("taxid"), parent.alias("parent_taxid"), rank.alias("rank"), name.alias("scientific_name"), F.col("extinct").cast("int").alias("is_extinct"))
-    aliases = r.select(F.explode("secondaryTaxIds").alias("a"), taxid.alias("current_taxid")).select(F.col("a").try_cast("long").alias("alias_taxid"), "current_taxid", F.lit("MERGED").alias("status"))
+    r = text.where(F.trim(column) != "").select(F.coalesce(F.get_json_object(column, "$.taxonomy"), F.col(column)).alias("j"))
+    j = F.col("j")
+    taxid = _first(j, "$.taxId", "$.tax_id", "$.taxid").try_cast("long")
+    parent = F.coalesce(_first(j, "$.parents[0]", "$.parentTaxId", "$.parent_tax_id").try_cast("long"), F.when(taxid == 1, 1))
+    rank = F.regexp_replace(F.lower(F.trim(F.coalesce(_first(j, "$.rank"), F.lit("no rank")))), r"[\s-]+", "_")
+    name = _first(j, "$.currentScientificName.name", "$.scientific_name", "$.organism_name")
+    nodes = r.select(taxid.alias("taxid"), parent.alias("parent_taxid"), rank.alias("rank"), name.alias("scientific_name"), _first(j, "$.extinct").try_cast("boolean").cast("int").alias("is_extinct"))
+    others = F.from_json(_first(j, "$.secondaryTaxIds"), "array<string>")
+    aliases = r.select(F.explode(others).alias("a"), taxid.alias("current_taxid")).select(F.col("a").try_cast("long").alias("alias_taxid"), "current_taxid", F.lit("MERGED").alias("status"))
     return nodes, aliases
 
 
