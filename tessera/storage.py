@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -21,7 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    Unlike a checkpoint it is columnar: later readers prune columns, and the
+    optimiser knows the size.
+    """
     path = f"{shared_folder(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of :func:`stored` that a newer one has replaced."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
