@@ -74,3 +74,15 @@ def file_check(files: DataFrame, contents: DataFrame) -> DataFrame:
     have = contents.select(F.col("path").alias("relative_path"), F.sha2("content", 256).alias("__sha"))
     out = files.join(have, "relative_path", "left")
     return out.select("file_id", F.when(F.col("__sha").isNull(), "MISSING").when(F.col("__sha") == F.col("sha256"), "CHECKSUM_VERIFIED").otherwise("CHECKSUM_FAILED").alias("status"))
+
+
+def write_alignment(rows: DataFrame, columns: DataFrame, summary: DataFrame, path: str) -> None:
+    """Alignment quality as two TSV tables and one JSON summary, shares with six decimals."""
+    for name, df, shares in (("sequence_qc", rows, ["coverage", "gap_fraction"]), ("column_qc", columns, ["occupancy", "consensus_fraction"])):
+        write_tsv(six_places(df, shares), f"{path}/{name}", df.columns)
+    json_rows(summary).write.mode("overwrite").text(f"{path}/alignment_qc")
+
+
+def template_header(names: list[str]) -> str:
+    """Header line of an import template."""
+    return "\t".join(names) + "\n"
