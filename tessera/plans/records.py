@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import percent
@@ -15,7 +15,9 @@ from tessera.plans.tables import METRICS, metrics, read
 
 Q, S = {}, {}
 
-NEWEST = [F.col("moment").desc_nulls_last(), F.col("seq").desc()]
+
+def newest() -> list[Column]:
+    return [F.col("moment").desc_nulls_last(), F.col("seq").desc()]
 
 
 def latest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,20 +30,20 @@ Q["latest_metrics"] = latest_metrics
 S["latest_metrics"] = f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id, identity, metric ORDER BY moment DESC NULLS LAST, seq DESC) AS k FROM {METRICS}), b AS (SELECT *, min(num) OVER (PARTITION BY user_id, metric) AS worst, row_number() OVER (PARTITION BY user_id, metric ORDER BY moment DESC NULLS LAST, seq DESC) AS j FROM a WHERE k = 1)
 SELECT user_id, metric, CASE WHEN metric = 'error' THEN worst ELSE num END AS num, seq FROM b WHERE j = 1"""
 
-Q["latest_row"] = lambda s, d: la.latest(metrics(s, d), ["user_id", "metric"], NEWEST).select("user_id", "metric", "seq", "num")
+Q["latest_row"] = lambda s, d: la.latest(metrics(s, d), ["user_id", "metric"], newest()).select("user_id", "metric", "seq", "num")
 S["latest_row"] = f"SELECT user_id, metric, seq, num FROM {METRICS} QUALIFY row_number() OVER (PARTITION BY user_id, metric ORDER BY moment DESC NULLS LAST, seq DESC) = 1"
 
 Q["current_row"] = lambda s, d: la.current(metrics(s, d), ["user_id"], "seq").select("user_id", "metric", "num", "seq")
 S["current_row"] = f"SELECT user_id, metric, num, seq FROM {METRICS} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1"
 
 TYPES = ["signup", "view", "error", "click", "purchase"]
-Q["qc_wide"] = lambda s, d: la.wide(la.latest(metrics(s, d), ["user_id", "metric"], NEWEST), ["user_id"], "metric", "num", TYPES)
+Q["qc_wide"] = lambda s, d: la.wide(la.latest(metrics(s, d), ["user_id", "metric"], newest()), ["user_id"], "metric", "num", TYPES)
 S["qc_wide"] = f"""WITH x AS ({S['latest_row']}) SELECT user_id, {', '.join(f"max(num) FILTER (metric = '{t}') AS {t}" for t in TYPES)} FROM x GROUP BY user_id"""
 
 Q["top_hits"] = lambda s, d: la.top_k(metrics(s, d), ["metric"], [F.desc("num"), F.asc("seq")], 5).select("metric", "seq", F.col("rank").cast("long").alias("rank"))
 S["top_hits"] = f"SELECT metric, seq, row_number() OVER (PARTITION BY metric ORDER BY num DESC, seq) AS rank FROM {METRICS} QUALIFY rank <= 5"
 
-Q["file_state"] = lambda s, d: la.file_state(metrics(s, d), ["user_id"], "metric", NEWEST, (F.col("metric") == "error") & (F.col("num") < 20))
+Q["file_state"] = lambda s, d: la.file_state(metrics(s, d), ["user_id"], "metric", newest(), (F.col("metric") == "error") & (F.col("num") < 20))
 S["file_state"] = f"""WITH x AS ({S['latest_row']}) SELECT user_id, CASE WHEN bool_or(metric = 'error' AND num < 20) THEN 'FAILED' ELSE 'COMPLETE' END AS state FROM x GROUP BY user_id"""
 
 Q["entity_state"] = lambda s, d: la.entity_state(read(s, d, "orders")[0].withColumn("st", F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "PENDING").otherwise("COMPLETE")), ["o_custkey"], "st")

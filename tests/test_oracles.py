@@ -58,3 +58,12 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_ranks_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["top_hits"](spark, SF))
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 90 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
