@@ -52,6 +52,7 @@ def plan(df) -> str:
 
 
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     text = plan(QUERIES["region_filter"](spark, SF))
     assert "PushedFilters: [" in text and "EqualTo(l_returnflag,A)" in text and "l_extendedprice" not in text
 
