@@ -23,13 +23,13 @@ def connected_components(links: DataFrame, src: str = "a", dst: str = "b") -> Da
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        step = stored(step, "cc-step")
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = stored(step.join(jump, "component").select("node", "old", F.col("further").alias("component")), "cc-labels")
         moved = new.where("component <> old").limit(1).count()
-        forget(step)
         forget(labels)
         labels = new
         if not moved:
             forget(both)
-            return labels.select("node", "component")
+            out = labels.select("node", "component")
+            out._tessera_path = labels._tessera_path
+            return out

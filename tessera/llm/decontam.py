@@ -187,8 +187,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE,
     table gives an empty table.
 
     The benchmark is held in blocks of about ``pass_chars`` characters, whatever its
-    size: each block is one more scalar function over the texts, so neither driver
-    nor executors ever hold more than one block's index at a time.
+    size: each block is one more scalar function over the texts, so a worker's index
+    is bounded. The driver keeps all blocks until the plan has run, and so is bounded
+    by the benchmark, never by the texts.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, stored, words
+from tessera.llm.common import ascii_lower, forget, stored, words
 from tessera.llm.components import connected_components
 
 #: Sketch size, the least share of a full sketch that partners have in common, and the estimate below which a pair is not verified.
@@ -106,12 +106,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     excess = sets.select("node").join(single, "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u"))
     lists_e = lists.join(excess, "node").select("v", "node", "n", (F.col("u") * (den + num) - F.col("n") * (den - num)).alias("e"))
     lists_e = stored(lists_e, "nd-lists")
-    pivots = stored(lists_e.groupBy("v").agg(F.min(F.struct("e", "node", "n")).alias("p")).select("v", F.col("p.node").alias("p"), F.col("p.e").alias("pe"), F.col("p.n").alias("pn")), "nd-pivots")
+    forget(lists)
+    pivots = lists_e.groupBy("v").agg(F.min(F.struct("e", "node", "n")).alias("p")).select("v", F.col("p.node").alias("p"), F.col("p.e").alias("pe"), F.col("p.n").alias("pn"))
     sized = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
     hub = lists_e.join(pivots, "v").where((F.col("node") != F.col("p")) & (F.col("e") + F.col("pe") <= 0) & sized("n", "pn"))
     hub = hub.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    links = stored(_verified(hub, sketches, sets, num, den), "nd-links")
-    first = stored(connected_components(links), "nd-first")
+    first = connected_components(_verified(hub, sketches, sets, num, den))
 
     placed = lists_e.join(first, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     centre = pivots.join(first.withColumnRenamed("node", "p"), "p", "left").select("v", "pe", F.coalesce("component", "p").alias("pg"))
@@ -126,13 +126,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     overlap = F.ceil((F.col("n") + F.col("yn")) * num / (num + den))
     rest = tokens.join(facts, "node").join(rare, "v").where((F.col("g") != F.col("yg")) & (F.col("e") + F.col("ye") <= 0) & sized("n", "yn") & (F.col("r") <= F.col("yn") - overlap + 1))
     rest = rest.select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")).distinct().join(hub, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, sketches, sets, num, den), "nd-links")
+    more = _verified(rest, sketches, sets, num, den)
     # Components contracted so far are the nodes of the second search.
     label = first.select(F.col("node"), "component")
     ends = more.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = connected_components(ends).toDF("g", "h")
-    groups = classes.join(first, "node", "left").withColumn("g", F.coalesce("component", "node")).join(second, "g", "left")
+    second = connected_components(ends)
+    groups = classes.join(first, "node", "left").withColumn("g", F.coalesce("component", "node")).join(second.toDF("g", "h"), "g", "left")
     groups = stored(groups.select(*key, "node", F.coalesce("h", "g").alias("group")), "nd-groups")
+    # What is returned reads base and groups only.
+    for table in (classes, sketches, lists_e, sets, first, failed, tokens, second):
+        forget(table)
     # The smallest doc_id of a component is that of one of its classes.
     names = groups.groupBy("group").agg(F.min("node").alias("component_id"))
     named = groups.join(names, "group").select(*key, F.col("node").alias("class_id"), "component_id")
