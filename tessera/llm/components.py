@@ -18,7 +18,9 @@ def connected_components(links: DataFrame, src: str = "a", dst: str = "b") -> Da
     Null ends, loops and repeated links are ignored; no links give an empty table.
     """
     pairs = links.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    both = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-links")
+    # Both directions from one pass over the links.
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = stored(pairs.select(F.explode(ways).alias("w")).select("w.u", "w.v").distinct(), "cc-links")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component")), "cc-labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("m"))
