@@ -42,7 +42,14 @@ FEATURES = [
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """Explode the column ``text`` of ``rows`` into word, c, before, after, place: each word with a key-like run, the run, the three words before and one after, and the word's number from 0."""
+    """Explode the column ``text`` of ``rows`` into word, c, before, after, place, run: every key-like run.
+
+    ``place`` is the number of its word and ``run`` its number in the word, both from
+    0. A word with several runs falls into pieces, ``word`` being the run with the
+    text to the runs beside it. ``before`` and ``after`` are the three words before
+    and the one after, or inside a word the run before with the text in front of it,
+    and the text to the next run.
+    """
     keep = [c for c in rows.columns if c != "text"]
     # The words are a column of their own: inside the lambda functions an expression would be evaluated for each of them.
     split = rows.select(*keep, F.split(F.coalesce("text", F.lit("")), WORD_GAP).alias("w"))
@@ -51,9 +58,19 @@ def candidates(rows: DataFrame) -> DataFrame:
 
     def found(i: Column) -> Column:
         before = F.array_join(F.slice(w, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
-        return F.struct(w[i].alias("word"), F.regexp_extract(w[i], _RUN, 1).alias("c"), before.alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"), i.cast("long").alias("place"))
+        return F.struct(w[i].alias("word"), before.alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"), i.cast("long").alias("place"))
+
+    words = split.select(*keep, F.explode(F.transform(at, found)).alias("f")).select(*keep, "f.*")
+    # So are the runs of a word and the texts around them.
+    words = words.select(*keep, "before", "after", "place", F.regexp_extract_all("word", F.lit(_RUN), F.lit(1)).alias("runs"), F.split("word", _RUN).alias("gaps"))
+    runs, gaps = F.col("runs"), F.col("gaps")
+
+    def piece(c: Column, k: Column) -> Column:
+        before = F.when(k == 0, F.col("before")).otherwise(F.concat(F.get(gaps, k - 1), F.get(runs, k - 1)))
+        after = F.when(k == F.size(runs) - 1, F.col("after")).otherwise(F.get(gaps, k + 1))
+        return F.struct(F.concat(F.get(gaps, k), c, F.get(gaps, k + 1)).alias("word"), c.alias("c"), before.alias("before"), after.alias("after"), F.col("place"), k.cast("long").alias("run"))
 
-    return split.select(*keep, F.explode(F.transform(at, found)).alias("f")).select(*keep, "f.*")
+    return words.select(*keep, F.explode(F.transform(runs, piece)).alias("f")).select(*keep, "f.*")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -146,15 +163,15 @@ def fit_forest(findings: DataFrame, *, trees: int = 24, depth: int = 8, seed: in
 def scan_secrets(docs: DataFrame, forest: RandomForestClassificationModel, *, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """Candidates in the whole texts of ``docs`` (doc_id, text), judged by the forest.
 
-    One row per candidate word: doc_id, place (word number from 0), length (of the
-    key-like run), masked (its first and last two characters), score (0 to 1) and
-    secret (score >= threshold). ``path`` is a column that says where a text comes
+    One row per key-like run: doc_id, place (number of its word from 0), run (its
+    number in the word from 0), length, masked (its first and last two characters),
+    score (0 to 1) and secret (score >= threshold). ``path`` is a column that says where a text comes
     from (default: unknown). Null and empty texts have no candidates, null doc_ids
     pass through, repeated rows give their candidates again, other columns are not
     read, and an empty table gives an empty table.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.col("text"))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(rows)).select("doc_id", "place", "c", *FEATURES))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(candidates(rows)).select("doc_id", "place", "run", "c", *FEATURES))
     scored = forest.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     masked = F.concat(F.substring("c", 1, 2), F.lit("..."), F.substring("c", -2, 2))
-    return scored.select("doc_id", "place", F.length("c").cast("long").alias("length"), masked.alias("masked"), "score", (F.col("score") >= threshold).alias("secret"))
+    return scored.select("doc_id", "place", "run", F.length("c").cast("long").alias("length"), masked.alias("masked"), "score", (F.col("score") >= threshold).alias("secret"))
