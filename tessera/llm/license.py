@@ -56,9 +56,6 @@ TEMPLATES = (
     ("unlicense", "free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
 )
-#: Every template and phrase holds one of these, so a text without them needs no automaton.
-GATES = (b"licen", b"cc", b"rights reserved", b"free of charge", b"redistribution", b"public domain", b"hereby granted")
-
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -174,6 +171,9 @@ class Scanner:
         self.base = [(label, f" {phrase} ".encode()) for label, phrase in base]
         self.starts: dict[str, list[tuple[str, Automaton, float]]] = {}
         self.floor = {label: confidence(phrase) for label, phrase in base}
+        # A text that lacks a mandatory word of each template and phrase needs no automaton; the longest words, which are the rarest, come first.
+        needed = [phrase.split() for _, phrase in base] + [[x for x in parse(t) if isinstance(x, str)] for _, t in templates]
+        self.gates = [tuple(x.encode("utf-8", "surrogatepass") for x in sorted(set(words), key=lambda x: (-len(x), x))) for words in needed]
         for label, template in templates:
             machine = Automaton(template)
             for word in machine.first():
@@ -184,7 +184,7 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         plain = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
         tokens = plain.split()
-        if not any(g in plain for g in GATES):
+        if not any(all(w in plain for w in words) for words in self.gates):
             return len(tokens), 0, None, None, "", "", 0.0
         joined = b" " + b" ".join(tokens) + b" "
         places, found, score = [], set(), 0.0

@@ -44,6 +44,16 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_words_apart_and_own_templates(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby\r\n# granted, provided that the above copyright notice"
+    rows = [(1, "All rights\r\nreserved"), (2, "# All rights\n# reserved"), (3, isc), (4, "free and unencumbered software released into the public\r\n domain"), (5, "use it as you like"), (6, "nothing of the kind")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"] > 0) for r in scan_licenses(docs).collect()}
+    assert got == {1: ("all-rights-reserved", True), 2: ("all-rights-reserved", True), 3: ("isc", True), 4: ("unlicense", True), 5: ("", False), 6: ("", False)}
+    own = scan_licenses(docs, templates=[("wtf", "as you <<opt>>may<<end>> like")], base=[("none", "of the kind")]).collect()
+    assert {r["doc_id"]: r["labels"] for r in own if r["labels"]} == {5: "wtf", 6: "none"}
+
+
 def test_secrets(spark):
     key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [(1, f'here token = "{key}" end'), (2, f"see commit {key} for it"), (3, "4111111111111111 and internationalisation-of-everything"), (4, None), (5, ""), (None, f"api_key: {key}")]
