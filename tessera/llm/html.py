@@ -15,11 +15,14 @@ Which text stays
   scripts, styles and reader comments, told by element, role and class.
 * Inside ``<article>`` or ``<main>``: the rest, also if other pages repeat it (a
   copied article is an article).
-* On pages with neither: blocks that no repeated substring covers, the unique runs.
+* On pages with neither: what the host's template does not cover. Template is a
+  stretch of at least LONG words in substrings that more than half of the host's
+  pages have. Pages with the same text count as one, so a copied article stays.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -54,6 +57,8 @@ _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 #: Tokens of a repeated substring.
 DEPTH = 4
+#: Words of a stretch of template.
+LONG = 5
 EXCLUDED, OUTSIDE, INSIDE = 0, 1, 2
 
 
@@ -147,14 +152,31 @@ def _names(tokens: list[tuple[str, str | None, int]], depth: int) -> np.ndarray:
     return name.view(np.int64)
 
 
-def _outside_names(page: str | None, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names and places of the substrings that hold a token outside of the article; what lies inside is never template."""
+def _outside_names(page: str | None, depth: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """Names and places of the substrings that hold a token outside of the article (what lies inside is never template), a hash of the page's text, and whether the page marks no article.
+
+    The first name is 0 at place -1: it stands for the page itself.
+    """
     tokens = page_tokens(page)
     names = _names(tokens, depth)
     inside = np.array([z == INSIDE for _, _, z in tokens], dtype=np.int64)
     whole = np.convolve(inside, np.ones(depth, dtype=np.int64), "valid") == depth if len(names) else np.empty(0, dtype=bool)
     at = np.flatnonzero(~whole)
-    return names[at], at
+    text = "\n".join(t for _, t, z in tokens if t is not None and z != EXCLUDED).encode("utf-8", "surrogatepass")
+    content = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
+    return np.append(0, names[at]), np.append(-1, at), content, not inside.any()
+
+
+def _template(size: int, kept: list, at: np.ndarray, depth: int) -> np.ndarray:
+    """Which tokens are in stretches of at least LONG words of substrings that start at ``at``."""
+    hit = np.zeros(size + depth, dtype=bool)
+    for k in range(depth):
+        hit[at + k] = True
+    words = np.zeros(size + depth, dtype=np.int64)
+    for k, t in kept:
+        words[k] = len(t.split())
+    stretch = np.cumsum(np.diff(hit, prepend=False))
+    return hit & (np.bincount(stretch, weights=words)[stretch] >= LONG)
 
 
 def _packed(page: str | None) -> bytes:
@@ -192,13 +214,19 @@ def extract_main_text(pages: DataFrame, *, depth: int = DEPTH) -> DataFrame:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo : lo + 200]
                 got = [_outside_names(h, depth) for h in part["html"]]
-                sizes = [len(n) for n, _ in got]
-                yield pd.DataFrame({"host": np.repeat(part["host"].to_numpy(), sizes), "name": np.concatenate([n for n, _ in got]), "uid": np.repeat(part["uid"].to_numpy(), sizes), "pos": np.concatenate([p for _, p in got]).astype("int32")})
-
-    array = pages.select(F.xxhash64(host).alias("host"), "uid", "html").mapInPandas(suffixes, "host long, name long, uid long, pos int")
-    array = array.select(F.xxhash64("host", "name").alias("suffix"), "uid", "pos")
-    repeated = array.groupBy("suffix").agg(F.min("uid").alias("a"), F.max("uid").alias("b")).where("a <> b").select("suffix")
-    covered = array.join(repeated, "suffix", "left_semi").groupBy("uid").agg(F.collect_set("pos").alias("at"))
+                sizes = [len(x[0]) for x in got]
+                of = lambda values: np.repeat(np.asarray(values), sizes)
+                yield pd.DataFrame({"host": of(part["host"]), "name": np.concatenate([x[0] for x in got]), "uid": of(part["uid"]), "pos": np.concatenate([x[1] for x in got]).astype("int32"), "content": of([x[2] for x in got]), "open": of([x[3] for x in got])})
+
+    array = pages.select(F.xxhash64(host).alias("host"), "uid", "html").mapInPandas(suffixes, "host long, name long, uid long, pos int, content long, open boolean")
+    array = array.select(F.xxhash64("host", "name").alias("suffix"), "uid", "pos", "host", "content", "open")
+    repeated = array.groupBy("suffix").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.max("open").alias("open")).where("a <> b").select("suffix", "open")
+    # Pages with distinct texts that have a suffix, counted where pages without an article do; the key keeps a common suffix from landing in one task.
+    pairs = array.drop("open").join(repeated.where("open"), "suffix", "left_semi").groupBy(F.xxhash64("suffix", "content").alias("pair")).agg(F.first("suffix").alias("suffix"), F.first("host").alias("host"), F.min("pos").alias("pos"))
+    counts = pairs.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host"), F.min("pos").alias("pos"))
+    template = counts.where("pos >= 0").join(counts.where("pos < 0").select("host", F.col("n").alias("every")), "host").where("n >= 2 AND 2 * n > every").select("suffix", F.lit(True).alias("template"))
+    marked = repeated.join(template, "suffix", "left").select("suffix", (F.col("open") & F.coalesce("template", F.lit(False))).alias("template"))
+    covered = array.where("pos >= 0").join(marked, "suffix").groupBy("uid").agg(F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("template"), F.col("pos"))).alias("wide"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,7 +235,7 @@ def extract_main_text(pages: DataFrame, *, depth: int = DEPTH) -> DataFrame:
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for packed, at in zip(batch["packed"], batch["at"], strict=True):
+            for packed, at, wide in zip(batch["packed"], batch["at"], batch["wide"], strict=True):
                 size, kept = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
                 hit = np.zeros(size + depth, dtype=bool)
                 if at is not None:
@@ -215,10 +243,11 @@ def extract_main_text(pages: DataFrame, *, depth: int = DEPTH) -> DataFrame:
                     for k in range(depth):
                         hit[where + k] = True
                 if not isinstance(kept, str):
-                    kept = "\n\n".join(t for k, t in kept if not hit[k])
+                    out = _template(size, kept, np.asarray([] if wide is None else wide, dtype=np.int64), depth)
+                    kept = "\n\n".join(t for k, t in kept if not out[k])
                 rows.append((kept, len(kept), size, int(hit.sum())))
             got = pd.DataFrame(rows, columns=["text", "n_chars", "n_tokens", "n_covered"])
             yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], **{c: got[c].to_numpy() for c in got}})
 
     packed = pages.mapInPandas(pack, "page_id long, url string, uid long, packed binary")
-    return packed.join(covered, "uid", "left").select("page_id", "url", "packed", "at").mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")
+    return packed.join(covered, "uid", "left").select("page_id", "url", "packed", "at", "wide").mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")

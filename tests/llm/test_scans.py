@@ -148,3 +148,17 @@ def test_pages(spark):
     assert got[5]["text"] == got[6]["text"] == "" and got[None]["text"] == "plain words" and "Welcome here" in got[7]["text"]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copied_articles_stay_on_unmarked_pages(spark):
+    top, foot = "<div>The daily paper of our whole town</div>", "<div>Printed and published by the town press</div>"
+    story = lambda k: f"<h2>Background</h2><p>Story number {k} tells what no other does tell</p><p>It ends here with {k} words</p>"
+    page = lambda k, more="": f"<html><body>{top}{story(k)}{more}{foot}</body></html>"
+    quote = "<p>A paragraph that two pages of this host both quote in full</p>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(6)] + [(10, "http://a.example/copy", page(0)), (11, "http://a.example/x", page(11, quote)), (12, "http://a.example/y", page(12, quote))]
+    rows += [(20, "http://b.example/1", page(20)), (21, "http://b.example/2", page(20))]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda k: f"Story number {k} tells what no other does tell\n\nIt ends here with {k} words"
+    assert all(own(k) in got[k] and "daily" not in got[k] and "town press" not in got[k] for k in (0, 1, 5, 11, 12))
+    assert got[10] == got[0] and all("two pages of this host" in got[k] for k in (11, 12))
+    assert own(20) in got[20] and got[20] == got[21]
