@@ -21,8 +21,8 @@ def resolve_ids(ids: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFra
 
 
 def lineages(nodes: DataFrame, taxids: DataFrame) -> DataFrame:
-    """(taxid, lineage): array of (depth, taxid, rank, name, extinct) from the node up; bounded by the tree's depth."""
-    up = ancestors(nodes.select("taxid", "parent_taxid"), taxids.select("taxid"), child="taxid", parent="parent_taxid")
+    """(taxid, lineage): array of (depth, taxid, rank, name, extinct) from the node up, over at most 100 levels."""
+    up = ancestors(nodes.select("taxid", "parent_taxid"), taxids.select("taxid"), child="taxid", parent="parent_taxid", max_depth=100)
     joined = up.join(nodes.select(F.col("taxid").alias("node"), "rank", "scientific_name", "is_extinct"), "node")
     item = F.struct("depth", F.col("node").alias("taxid"), "rank", F.col("scientific_name").alias("name"), F.col("is_extinct").alias("extinct"))
     return joined.groupBy(F.col("start").alias("taxid")).agg(F.sort_array(F.collect_list(item)).alias("lineage"))

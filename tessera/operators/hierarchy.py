@@ -1,39 +1,50 @@
 """Trees and lineage graphs: closures by joins, never on the driver.
 
 Each round joins only the frontier, cuts lineage by a table in the shared folder
-when it is long, and stops by itself; the depth bound guards against cycles.
+when it is long, and stops by itself when the frontier is empty; nodes seen before
+leave it, so cycles end too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.storage import stored
 
+#: After so many rounds what was seen becomes one table again.
+ROUNDS = 16
 
-def ancestors(edges: DataFrame, roots: DataFrame, *, child: str, parent: str, max_depth: int = 100) -> DataFrame:
+
+def _rounds(max_depth: int | None):
+    return count() if max_depth is None else range(max_depth)
+
+
+def ancestors(edges: DataFrame, roots: DataFrame, *, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): each start (column ``child`` of ``roots``) with itself at depth 0 and all its ancestors.
 
-    A node that is its own parent ends its lineage; so does a repeated node.
+    A node that is its own parent ends its lineage; so does a repeated node, and ``max_depth`` if given.
     """
     up = edges.select(F.col(child).alias("__c"), F.col(parent).alias("__p")).where("__p IS NOT NULL AND __c <> __p").distinct()
     frontier = stored(roots.select(F.col(child).alias("start"), F.col(child).alias("node"), F.lit(0).alias("depth")).distinct(), "lineage")
     seen = frontier
-    for _ in range(max_depth):
+    for k in _rounds(max_depth):
         step = frontier.join(up, F.col("node") == F.col("__c")).select("start", F.col("__p").alias("node"), (F.col("depth") + 1).alias("depth"))
         frontier = stored(step.dropDuplicates(["start", "node"]).join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", "depth"), "lineage")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if k % ROUNDS == ROUNDS - 1:
+            seen = stored(seen, "lineage")
     return seen
 
 
-def descendants(edges: DataFrame, roots: DataFrame, *, child: str, parent: str, max_depth: int = 1000, without: DataFrame | None = None) -> DataFrame:
-    """(node, depth) of the roots (column ``child``) and all below; subtrees under ``without`` (column ``child``) are left out."""
+def descendants(edges: DataFrame, roots: DataFrame, *, child: str, parent: str, max_depth: int | None = None, without: DataFrame | None = None) -> DataFrame:
+    """(node, depth) of the roots (column ``child``) and all below, down to ``max_depth`` if given; subtrees under ``without`` (column ``child``) are left out."""
     down = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).where("__p IS NOT NULL AND __c <> __p").distinct()
     start = roots.select(F.col(child).alias("node")).distinct()
     if without is not None:
@@ -41,12 +52,14 @@ def descendants(edges: DataFrame, roots: DataFrame, *, child: str, parent: str,
         start, down = start.join(cut, "node", "left_anti"), down.join(cut, F.col("__c") == F.col("node"), "left_anti")
     frontier = stored(start.withColumn("depth", F.lit(0)), "closure")
     seen = frontier
-    for _ in range(max_depth):
+    for k in _rounds(max_depth):
         step = frontier.join(down, F.col("node") == F.col("__p")).select(F.col("__c").alias("node"), (F.col("depth") + 1).alias("depth"))
         frontier = stored(step.dropDuplicates(["node"]).join(seen.select("node"), "node", "left_anti").select("node", "depth"), "closure")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if k % ROUNDS == ROUNDS - 1:
+            seen = stored(seen, "closure")
     return seen
 
 

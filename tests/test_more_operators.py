@@ -69,6 +69,16 @@ def test_dated_tree(spark):
             tt.parse_newick(bad)
 
 
+def test_deep_tree(spark):
+    text = "(a,b)"
+    for i in range(105):
+        text = f"({text},x{i})"
+    tree = tt.edges(spark, f"{text}root;").localCheckpoint()
+    label = {r["label"]: r["node"] for r in tree.where("label <> ''").collect()}
+    got = tt.clades(tree.where("label IN ('', 'root', 'a', 'x104')"), spark.createDataFrame([("a", "x104")], "a string, b string"))
+    assert [r["mrca"] for r in got.collect()] == [label["root"]]
+
+
 def test_alignment_files(spark, tmp_path):
     r = spark.createDataFrame([(0, "s1", "AC"), (1, "s2", "A-")], "record_no long, seqid string, sequence string")
     rows, columns = al.alignment_rows(r), al.alignment_columns(r)
