@@ -2,6 +2,7 @@
 
 import random
 import re
+import resource
 
 from pyspark.sql import functions as F
 
@@ -113,6 +114,59 @@ def test_passages_against_full_alignment():
             assert (i in got) == (least <= found.budget[i]), (i, least, got)
 
 
+def test_repetitive_passages_against_full_alignment():
+    rng = random.Random(8)
+
+    def made(letters, n):
+        parts = []
+        while sum(map(len, parts)) < n:
+            parts.append(rng.choice([rng.choice("#-ab") * rng.randint(1, 40), "".join(rng.choice(letters) for _ in range(rng.randint(1, 20))), "ab" * rng.randint(1, 9), "- " * rng.randint(1, 9)]))
+        return "".join(parts)[:n]
+
+    for _ in range(120):
+        letters = rng.choice(["#", "#a", "ab", "#- ", "abc ", "x\u0101"])
+        items = [made(letters, rng.choice([1, 3, 7, 9, 10, 14, 21, 31, 40, 70, 90])) for _ in range(5)]
+        passage = list(normal(rng.choice(items)))
+        for _ in range(rng.randint(0, 3)):
+            if passage:
+                passage[rng.randrange(len(passage))] = rng.choice("#xy")
+        text = made(letters, rng.randint(0, 150)) + "".join(passage) + made(letters, rng.randint(0, 50))
+        got = {m[0]: m[3] for m in Passages(list(range(5)), items).find([text])[0]}
+        for i, item in enumerate(items):
+            least = edit_in_text(normal(item), normal(text))
+            found = normal(item) and least <= int(len(normal(item)) * 0.1)
+            assert got.get(i) == (least if found else None), (item, text)
+
+
+def test_slices_and_segments_change_nothing(monkeypatch):
+    from tessera.llm import decontam
+
+    rng = random.Random(9)
+    items = ["#" * 70 + " tail one", "ab" * 40, "- " * 50 + "x", "plain words that stand in no ruler at all here"]
+    text = " ".join(rng.choice(["#" * 69, "ab" * 45, "- " * 40, "plain words that stand in no rule at all here", "zz"]) for _ in range(60)) + "#" * 70 + " tail one"
+    whole = Passages([1, 2, 3, 4], items).find([text, "", text[40:900]])
+    monkeypatch.setattr(decontam, "SLICE", 300)
+    assert Passages([1, 2, 3, 4], items).find([text, "", text[40:900]]) == whole
+    monkeypatch.setattr(decontam, "SEGMENT", 500)
+    cut = Passages([1, 2, 3, 4], items).find([text, "", text[40:900]])
+    assert [[(m[0], m[3]) for m in t] for t in cut] == [[(m[0], m[3]) for m in t] for t in whole]
+
+
+def test_rulers_take_little_memory():
+    import time
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    said = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    items = [f"{said(12)}\n{'#' * 70}\n{said(8)}" for _ in range(1000)]
+    found, began = Passages(list(range(1000)), items), time.time()
+    ruler = ("#" * 70 + "\n") * 14_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = found.find([ruler, f"{said(30)}\n{items[5]} {ruler[:700]}", items[7].replace("a", "e", 3)])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 800_000 and time.time() - began < 60
+    assert [[m[0] for m in t] for t in got] == [[], [5], [7]]
+
+
 def test_banded_distance_finds_the_place():
     import numpy as np
 
@@ -127,10 +181,13 @@ def test_decontamination(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit("clash"))
     for size in (2_000_000, 40):
         got = {r["doc_id"]: r for r in find_passages(docs, bench, pass_chars=size).collect()}
-        assert [i for i in got if got[i]["contaminated"]] == [1, 2, 6]
+        assert sorted(i for i in got if got[i]["contaminated"]) == [1, 2, 6, 7] and got[7]["matches"][0][0] == 4
         assert got[1]["matches"][0][0] == 1 and got[1]["matches"][0][3] == 0 and got[6]["matches"][0][0] is None
     kept = decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 7]
+    assert kept.schema == docs.schema and sorted((r["doc_id"], r["matches"]) for r in kept.collect()) == [(i, "clash") for i in (3, 4, 5)]
+    assert sorted(r["doc_id"] for r in decontaminate(docs, bench, shortest=8).collect()) == [3, 4, 5, 7]
+    repeated = docs.unionByName(docs).where("doc_id IN (1, 3)")
+    assert sorted(r["contaminated"] for r in find_passages(repeated, bench).collect()) == [False, False, True, True]
     assert find_passages(docs, bench.limit(0)).where("contaminated").count() == 0
     assert find_passages(docs.limit(0), bench).count() == 0
 
