@@ -8,7 +8,7 @@ many words of each and how often.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, tables
@@ -19,17 +19,30 @@ from tessera.llm.mixing import mix
 from tessera.llm.quality import fit_quality, score_quality
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns put aside in ``row``, where no operator's columns clash with them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*others) if others else F.lit(None)).alias("row"))
+
+
+def _back(out: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    given = {"doc_id": F.col("doc_id"), "text": F.col("text"), **changed}
+    return out.select([given.get(c.lower(), F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, trained on this stage's own input."""
     (labels,) = tables(spark, sf_dir, "labels")
-    return score_quality(docs, fit_quality(docs, labels)).where("predicted = 1").select(*docs.columns)
+    return _back(score_quality(_aside(docs), fit_quality(docs, labels)).where("predicted = 1"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; a document of which no word is left goes. ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
+    """Documents without later copies of repeated line runs; a document of which no word is left goes. ``n_chars``, if there is one, follows the text."""
+    out = dedup_lines(_aside(docs))
     left = (F.col("n_removed") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return out.where(left).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    size = {c.lower(): F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row").getField(c)) for c in docs.columns if c.lower() == "n_chars"}
+    return _back(out.where(left), docs, **size)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
