@@ -76,8 +76,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
 
     Null and empty texts have no shingles and are linked with nothing. Rows with
     a null doc_id link with nothing: component_id null, kept true. Rows that
-    repeat a doc_id are one node, and link by their smallest set if their texts
-    differ. Ties go to the smaller doc_id. Other columns, whatever their names,
+    repeat a doc_id are one document: if their texts differ, it links by each of
+    them, and n_shingles and class_id are those of the row. Ties go to the smaller doc_id. Other columns, whatever their names,
     are not read. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -85,9 +85,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     base = stored(base, "nd-base")
     key = ["h1", "h2", "n"]
     real = base.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(real.groupBy(*key).agg(F.min("doc_id").alias("node")), "nd-classes")
-    nodes = classes.groupBy("node").agg(F.min(F.struct("n", "h1", "h2")).alias("own")).select(F.col("node").alias("doc_id"), "own.*")
-    sketches = stored(real.join(nodes, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "n", "sketch"), "nd-sketches")
+    # A class is named by its smallest doc_id; if that id has other texts too, the further classes get names of their own.
+    classes = real.groupBy(*key).agg(F.min("doc_id").alias("first_id"))
+    turn = F.row_number().over(Window.partitionBy("first_id").orderBy(*key))
+    classes = stored(classes.withColumn("node", F.when(turn == 1, F.col("first_id")).otherwise(F.xxhash64(*key, turn))), "nd-classes")
+    nodes = classes.withColumnRenamed("first_id", "doc_id")
+    sketches = stored(real.join(nodes, ["doc_id", *key]).dropDuplicates(["node"]).select("node", "n", "sketch"), "nd-sketches")
+    # The classes of one doc_id belong together.
+    several = real.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id")
+    texts = real.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes, key).select("doc_id", "node")
+    same_id = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
 
     values = sketches.select("node", F.col("n"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -97,8 +104,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     lists = stored(lists.where(F.col("c") >= least).where(F.col("r") <= F.col("c") - least + 1).select("v", "node", "n"), "nd-lists")
 
     members = lists.select("node").distinct()
-    sets = _sets(docs.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), width)
-    sets = sets.join(nodes, "doc_id").where((F.xxhash64("s") == F.col("h1")) & (F.hash("s") == F.col("h2"))).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "s")
+    wanted = nodes.join(members, "node", "left_semi")
+    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), width)
+    sets = sets.join(wanted, "doc_id").where((F.xxhash64("s") == F.col("h1")) & (F.hash("s") == F.col("h2"))).dropDuplicates(["node"]).select("node", "s")
     sets = stored(sets, "nd-sets")
     # A 32-bit value may hide that a shingle is unique, which only weakens the bound.
     single = sets.select("node", F.explode("s").alias("v")).groupBy(F.hash("v").alias("v"))
@@ -111,7 +119,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     sized = lambda x, y: (F.col(x) * den >= F.col(y) * num) & (F.col(y) * den >= F.col(x) * num)
     hub = lists_e.join(pivots, "v").where((F.col("node") != F.col("p")) & (F.col("e") + F.col("pe") <= 0) & sized("n", "pn"))
     hub = hub.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-    first = connected_components(_verified(hub, sketches, sets, num, den))
+    first = connected_components(_verified(hub, sketches, sets, num, den).unionByName(same_id))
 
     placed = lists_e.join(first, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     centre = pivots.join(first.withColumnRenamed("node", "p"), "p", "left").select("v", "pe", F.coalesce("component", "p").alias("pg"))
@@ -132,13 +140,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, num: int = 8, den: int =
     ends = more.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = connected_components(ends)
     groups = classes.join(first, "node", "left").withColumn("g", F.coalesce("component", "node")).join(second.toDF("g", "h"), "g", "left")
-    groups = stored(groups.select(*key, "node", F.coalesce("h", "g").alias("group")), "nd-groups")
+    groups = stored(groups.select(*key, "first_id", F.coalesce("h", "g").alias("group")), "nd-groups")
     # What is returned reads base and groups only.
     for table in (classes, sketches, lists_e, sets, first, failed, tokens, second):
         forget(table)
     # The smallest doc_id of a component is that of one of its classes.
-    names = groups.groupBy("group").agg(F.min("node").alias("component_id"))
-    named = groups.join(names, "group").select(*key, F.col("node").alias("class_id"), "component_id")
+    names = groups.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    named = groups.join(names, "group").select(*key, F.col("first_id").alias("class_id"), "component_id")
     out = base.select("doc_id", *key).join(named, key, "left")
     real_row = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(real_row, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(real_row, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))

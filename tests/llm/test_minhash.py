@@ -1,11 +1,12 @@
 """Near duplicates against all pairs in Python."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.llm.components import _components, connected_components
 from tessera.llm.minhash import near_duplicates
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -84,3 +85,44 @@ def test_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("n", [1000, 10_000])
+def test_rounds_on_random_chains(spark, n):
+    ids = list(range(n))
+    random.Random(n).shuffle(ids)
+    links = spark.createDataFrame([*zip(ids, ids[1:], strict=False), (n + 5, n + 9)], "a long, b long")
+    labels, rounds = _components(links)
+    assert {(r["component"], r["count"]) for r in labels.groupBy("component").count().collect()} == {(0, n), (n + 5, 2)}
+    assert rounds <= 2 * math.log2(n)
+
+
+def test_hubs_and_random_links(spark):
+    rng = random.Random(4)
+    links = [(500, k) for k in range(600)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(160)] + [(1000, 1001)] * 3
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        if a != b:
+            root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {a: find(a) for a, b in links if a != b} | {b: find(b) for a, b in links if a != b}
+
+
+def test_one_id_with_several_texts_links_by_each(spark):
+    rows = [(5, "a b c d e f"), (5, "p q r s t u"), (5, "v w x y z"), (2, "a b c d e f"), (7, "p q r s t u"), (9, "v w x y z"), (1, "nothing of that sort here"), (5, "a b c d e f")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=85, den=100).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (2, 2, True), *[(5, 2, False)] * 4, (7, 2, False), (9, 2, False)]
+
+
+def test_long_text(spark):
+    text = " ".join(f"w{k % 7919}" for k in range(60_000))
+    rows = [(1, text), (2, text + " end"), (3, text[: len(text) // 2])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, expected(rows, 5, 8, 10)[i][1]) for i in (1, 2, 3)]

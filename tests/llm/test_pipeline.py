@@ -1,6 +1,7 @@
 """The pipeline on small tables: each stage against its rule, and the queries that are registered."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm.queries import ORACLES, QUERIES
@@ -34,6 +35,21 @@ def test_stages(spark, folder):
     assert all(r["taken"] == r["copies"] * r["size"] > 0 for r in seen["mixing"].values())
 
 
+def test_input_columns_stay_as_they_are(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"score": F.lit(0.25), "n_lines": F.lit(9).cast("short"), "matches": F.lit(7).cast("long"), "row": F.lit("r"), "n_removed": F.lit(None).cast("string"), "kept": F.lit(False), "predicted": F.lit("p")})
+    extra = ("score", "n_lines", "matches", "row", "n_removed", "kept", "predicted")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema], name
+        rows = out.select(*extra).distinct().collect()
+        assert [tuple(r) for r in rows] == [(0.25, 9, 7, "r", None, False, "p")], name
+    bare = docs.select("doc_id", "text", "source")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, bare, folder)
+        assert out.count() > 0 and (name == "mixing" or out.columns == bare.columns)
+        assert stage(spark, bare.limit(0), folder).count() == 0
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.count() > 0 and {"doc_id", "taken"} <= set(got.columns)
