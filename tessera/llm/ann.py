@@ -8,14 +8,16 @@ threshold that matters; assignment and centre updates both use that loss. A quer
 is scored against all codes of a block by table scans, two four-bit codes in one
 look-up, and the best are reranked exactly on the original vectors.
 
-The stated queries meet all rows in blocks: queries and rows are dealt to blocks of
-bounded size, and each task holds one block of either.
+The stated queries meet all rows in blocks: a block of queries, of bounded size, goes
+to all tasks, and rows stay where they are. A task reads its rows block by block and
+keeps each query's nearest so far, so only those are shuffled, never a vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 
 CENTRES = 16
-#: Rows and queries of a block.
-ROWS, QUERIES = 8192, 2048
+#: Rows of a block; components of the queries of a block.
+ROWS, QUERY_NUMBERS = 8192, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component between 1/2 and 1: the cosine stays, and no product over- or underflows."""
+    _, power = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -power[:, None])
+
+
 def nearest(vectors: DataFrame, queries: Column, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 256, fit_rows: int = 4096, width: int = 2) -> DataFrame:
     """The ``k`` nearest rows by cosine of each row for which ``queries`` holds, itself excluded.
 
@@ -147,56 +155,88 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 5, id_col: str = "v
     the last, are scored exactly, so recall rises with the number of blocks.
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do vectors of another length than the
-    most common one (ties: the shorter). Repeated vectors are rows of their own;
-    repeated ids never match a query of the same id. Other columns are not read.
-    Fewer candidates than ``k`` are all returned; an empty table gives an empty one.
+    non-finite components take no part. A vector is compared with those of its own
+    length, each length having an index of its own. Repeated vectors are rows of
+    their own; rows that repeat a query's id never match it, and equal rows with one
+    id are one query. Other columns are not read. Fewer candidates than ``k`` are
+    all returned; an empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], result)
-    dims, count = sizes[0]["d"], sizes[0]["n"]
-    rows = rows.where(F.size("v") == dims)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).select("v").collect()
-    book = fit_codebook(np.array([r["v"] for r in sample]), width=width)
+    # A length without queries needs no index.
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.max("q").alias("asked")).where("asked").orderBy("d").collect()
+    parts = [_nearest(rows.where(F.size("v") == r["d"]), r["d"], k, rerank, fit_rows, width) for r in sizes]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], RESULT)
+    out = reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def _nearest(rows: DataFrame, dims: int, k: int, rerank: int, fit_rows: int, width: int) -> DataFrame:
+    """(query_id, query, vec_id, score): the nearest rows that each task has found, for vectors of one length."""
+    sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(fit_rows).select("v").collect()
+    book = fit_codebook(scaled(np.array([r["v"] for r in sample])), width=width)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = np.array(batch["v"].tolist(), dtype=np.float64)
+                x = scaled(np.array(batch["v"].tolist(), dtype=np.float64))
                 codes = np.concatenate([book.pack(book.assign(book.pad(x[lo : lo + 1024]))) for lo in range(0, len(x), 1024)])
                 yield pd.DataFrame({"vec_id": batch["vec_id"], "q": batch["q"], "v": [r.tobytes() for r in x], "code": [c.tobytes() for c in codes]})
 
     index = stored(rows.mapInPandas(encode, "vec_id long, q boolean, v binary, code binary"), "ann-index")
-    chunks = max(1, -(-count // ROWS))
-    blocks = max(1, -(-index.where("q").count() // QUERIES))
-    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = index.select("vec_id", "v", "code", dealt(chunks, 1).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = index.where("q").select("vec_id", "v", dealt(blocks, 2).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-
-    def block(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        names = ["query_id", "vec_id", "score"]
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        rows = rows.sort_values("vec_id", kind="stable")
-        x, q = _matrix(rows["v"]), _matrix(asked["v"])
-        ids, own = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-        packed = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-        norm, qnorm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-        out = []
-        for lo in range(0, len(q), 256):
-            # One more than needed, for the query's own row.
-            best = scan(book.tables(q[lo : lo + 256]), packed, rerank + 1)
-            for i, found in enumerate(best, lo):
-                found = found[ids[found] != own[i]]
-                score = (x[found] * q[i]).sum(axis=1) / (norm[found] * qnorm[i])
-                top = np.lexsort((ids[found], -score))[:k]
-                out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[found][top], "score": score[top]}))
-        return pd.concat(out)[names]
-
-    pairs = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(block, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = stored(index.where("q").select("vec_id", "v").distinct().withColumn("query", F.xxhash64("v")), "ann-queries")
+    block = max(1, QUERY_NUMBERS // dims)
+    blocks = max(1, -(-asked.count() // block))
+    found = []
+    for b in range(blocks):
+        # Bounded: about ``block`` queries.
+        mine = asked.where(F.pmod(F.xxhash64("vec_id", "query"), F.lit(blocks)) == b).orderBy("vec_id", "query").collect()
+        if mine:
+            near = index.select("vec_id", "v", "code").mapInPandas(_searcher(book, _matrix(pd.Series([bytes(r["v"]) for r in mine])), np.array([r["vec_id"] for r in mine]), np.array([r["query"] for r in mine]), k, rerank), "query_id long, query long, vec_id long, score double")
+            # The driver forgets a block before it takes the next.
+            found.append(near if blocks == 1 else stored(near, "ann-found"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _searcher(book: Codebook, q: np.ndarray, own: np.ndarray, name: np.ndarray, k: int, rerank: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The k best of each query so far: scores, and ids (no row: -inf).
+        best, who = np.full((len(q), k), -np.inf), np.zeros((len(q), k), dtype=np.int64)
+        qnorm = np.sqrt((q * q).sum(axis=1))
+        for batch in _blocks(batches):
+            rows = batch.sort_values("vec_id", kind="stable")
+            x, ids = _matrix(rows["v"]), rows["vec_id"].to_numpy()
+            packed = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+            norm = np.sqrt((x * x).sum(axis=1))
+            for lo in range(0, len(q), 256):
+                # One more than needed, for the query's own row.
+                for i, some in enumerate(scan(book.tables(q[lo : lo + 256]), packed, rerank + 1), lo):
+                    some = some[ids[some] != own[i]]
+                    score = np.append(best[i], (x[some] * q[i]).sum(axis=1) / (norm[some] * qnorm[i]))
+                    both = np.append(who[i], ids[some])
+                    top = np.lexsort((both, -score))[:k]
+                    best[i], who[i] = score[top], both[top]
+        at, place = np.nonzero(best > -np.inf)
+        yield pd.DataFrame({"query_id": own[at], "query": name[at], "vec_id": who[at, place], "score": best[at, place]})
+
+    return search
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ROWS rows, and cut to ROWS at most."""
+    held, size = [], 0
+    for batch in batches:
+        for lo in range(0, len(batch), ROWS):
+            part = batch.iloc[lo : lo + ROWS]
+            if held and size + len(part) > ROWS:
+                yield pd.concat(held)
+                held, size = [], 0
+            held.append(part)
+            size += len(part)
+    if held:
+        yield pd.concat(held)

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, nearest neighbours by recall, kernels by their definition, and odd rows."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -103,6 +104,57 @@ def test_neighbours(spark):
     assert nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def cosines(rows, queries, k):
+    """Brute force in exact fractions of the given doubles, by length."""
+    from fractions import Fraction
+    from math import isfinite
+
+    good = [(i, [Fraction(x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and isfinite(x) for x in v) and any(v)]
+    out = {}
+    for i, q in good:
+        if queries(i):
+            near = []
+            for j, v in good:
+                if j != i and len(v) == len(q):
+                    dot, size = sum(a * b for a, b in zip(q, v, strict=True)), sum(a * a for a in q) * sum(b * b for b in v)
+                    near.append((-float(dot * abs(dot) / size), j))
+            out[i] = [(j, math.copysign(abs(s) ** 0.5, -s)) for s, j in sorted(near)[:k]]
+    return out
+
+
+def test_neighbours_of_extremes_and_all_lengths(spark):
+    rng = random.Random(6)
+    rows = [(k, [rng.uniform(-1, 1) * 10.0 ** rng.choice([-200, 0, 200]) for _ in range(3 + k % 2)]) for k in range(60)]
+    rows += [(100, [1e-200, 1e-200]), (101, [1e200, 1e200]), (102, [5e-324, 0.0]), (103, [1.0, 1e308]), (104, [1.0]), (105, [-3.0]), (150, [1e-320, 1e-320]), (200, [2.0] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = cosines(rows, lambda i: i % 10 == 0 or i > 99, 4)
+    got = {}
+    for r in nearest(df, (F.col("vec_id") % 10 == 0) | (F.col("vec_id") > 99), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {i for i, near in want.items() if near}
+    for i, near in got.items():
+        assert np.allclose([s for _, s in near], [s for _, s in want[i]], atol=1e-12), i
+
+
+def test_repeated_rows_and_blocks_of_queries(spark, monkeypatch):
+    from tessera.llm import ann
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(90)]
+    df = spark.createDataFrame([*rows, *rows[:20], (3, rows[50][1])], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, nearest(df, F.col("vec_id") % 2 == 0).collect()))
+    assert len(whole) == 45 * 5 and [r[2] for r in whole if r[0] == 50][0] == 3
+    assert sorted(r[2] for r in whole if r[0] == 0).count(0) == 0
+    monkeypatch.setattr(ann, "QUERY_NUMBERS", 80)
+    assert sorted(map(tuple, nearest(df, F.col("vec_id") % 2 == 0).collect())) == whole
+
+
+def test_no_vector_is_shuffled(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(1, 40)], "vec_id long, embedding array<double>")
+    plan = nearest(df, F.col("vec_id") % 2 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and all("v#" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_codebook_lowers_the_parallel_error():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16))
