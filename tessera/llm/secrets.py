@@ -22,7 +22,8 @@ from tessera.llm.common import WORD_GAP, stored
 
 #: Shortest candidate.
 SHORTEST = 16
-_RUN = r"([A-Za-z0-9+/_=\-]{16,})"
+#: A run of key-like characters; = is one only as the padding at a run's end, elsewhere it parts a name from its value.
+_RUN = r"([A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?)"
 # Words that name a secret, words that name something else, and path parts of material that holds no live keys.
 NAMES = "token|secret|key|passw|passwd|password|pwd|auth|bearer|credential|api|apikey|private|access|client"
 OTHERS = "commit|sha|sha1|sha256|md5|checksum|digest|hash|uuid|guid|revision|integrity|etag|example|sample|dummy|placeholder|fake|test|isbn|doi|phone|card|order|invoice"
@@ -82,7 +83,7 @@ def with_features(found: DataFrame) -> DataFrame:
     c, low = F.coalesce("c", F.lit("")), F.lower(F.coalesce("c", F.lit("")))
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     gaps = F.greatest(n - 1, F.lit(1.0))
-    near = F.lower(F.concat_ws(" ", F.coalesce("before", F.lit("")), F.regexp_extract(F.coalesce("word", F.lit("")), r"^(.*?)[A-Za-z0-9+/_=\-]{16,}", 1)))
+    near = F.lower(F.concat_ws(" ", F.coalesce("before", F.lit("")), F.regexp_extract(F.coalesce("word", F.lit("")), "(?s)^(.*?)" + _RUN, 1)))
     values = {
         "length": n,
         "digits": _count(c, "[0-9]") / n,
@@ -133,6 +134,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     joined = F.concat_ws("_", pick(words, "w1"), pick(words, "w2"), pick(words, "w3"), pick(words, "w4"))
     name = pick(["token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "private_key", "apiKey", "TOKEN", "bearer"], "n")
     sign = pick(["=", ":", " ="], "g")
+    tight = pick(["=", ":", '":"', "='"], "t")
     plain = F.concat_ws(" ", pick(["the", "of", "in", "que", "der", "les"], "p1"), pick(words, "p2"), pick(["and", "a", "is", "de", "und"], "p3"))
     other = pick(["commit", "sha256", "checksum", "md5", "uuid", "revision", "example", "dummy", "placeholder"], "o")
     assigned = F.concat_ws(" ", pick(words, "q"), name, F.trim(sign))
@@ -143,11 +145,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         (F.translate(hex40, "abcdef", "123456"), plain, False, 0), (F.substring(F.translate(hex40, "abcdef", "123456"), 1, 16), plain, False, 0), (F.substring(F.translate(hex40, "abcdef", "123456"), 1, 16), assigned, False, 0),
         (hex40, F.concat_ws(" ", plain, other), False, 0), (hex32, F.concat_ws(" ", plain, other), True, 0), (joined, assigned, True, 0), (joined, plain, False, 0), (syllable, plain, False, 0), (syllable, assigned, True, 0),
         (F.initcap(syllable), plain, False, 0), (F.upper(syllable), plain, False, 0), (F.concat(F.repeat(F.lit("x"), 20), F.substring(hex32, 1, 2)), assigned, True, 0), (F.lit("your_api_key_goes_here"), assigned, True, 0), (F.concat_ws("/", pick(words, "w1"), pick(words, "w2"), syllable), plain, False, 0),
+        (hex40, plain, F.concat(other, tight), 0), (hex64, plain, F.concat(other, tight), 0), (hex32, plain, F.concat(F.lit("?"), other, tight), 0), (hex40, plain, F.concat(name, tight), 1), (base, plain, F.concat(name, tight), 1), (base, plain, F.concat(F.lit("&"), name, tight), 1),
     ]
     kind = F.col("id") % len(kinds)
     word, run, before, label = (F.lit(None) for _ in range(4))
-    for k, (c, beside, quoted, y) in enumerate(kinds):
-        word, run = F.when(kind == k, quote(c) if quoted else c).otherwise(word), F.when(kind == k, c).otherwise(run)
+    for k, (c, beside, around, y) in enumerate(kinds):
+        # What a run stands in: quotes, nothing, or one word with its name.
+        whole = F.concat(around, c) if isinstance(around, Column) else quote(c) if around else c
+        word, run = F.when(kind == k, whole).otherwise(word), F.when(kind == k, c).otherwise(run)
         before, label = F.when(kind == k, beside).otherwise(before), F.when(kind == k, F.lit(y)).otherwise(label)
     after, path = pick(["", "and", "the", "for", "}", "#"], "f"), pick(["src", "config", "src0", "app", "tests"], "path")
     return stored(r.withColumns(drawn).select(word.alias("word"), run.alias("c"), before.alias("before"), after.alias("after"), path.alias("path"), label.alias("label")), "secret-findings")
