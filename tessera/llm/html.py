@@ -1,23 +1,26 @@
 """Main-text extraction from raw web pages by host suffix arrays.
 
-A page becomes a stream of tokens: block-level tags and text blocks. The streams
-of a host, concatenated, have a suffix array in which suffixes with a common start
-are neighbours; neighbours from distinct pages that share ``depth`` tokens reveal a
-long repeated substring, the host's template. The array is built by prefix
-doubling of token names down to that depth, which suffices: a longer repeat is a
-chain of overlapping ones of that length. Neighbours are found by grouping on
-(host, name at that depth) with partial aggregation, so no host, however large, is
-sorted in one task.
+A page becomes a stream of tokens: block-level tags and text blocks. The streams of
+a host, concatenated, have a suffix array; it is sparse, with the suffixes that begin
+with a text block which markup doesn't exclude. Suffixes with a common start are
+neighbours in it, and neighbours from distinct pages that share ``depth`` tokens
+reveal a repeated substring. Names of substrings are made by prefix doubling down to
+that depth, which suffices: a longer repeat is a chain of overlapping ones.
+Neighbours are found by grouping on (host, name) with partial aggregation, so no
+host, however large, is sorted in one task.
 
 Which text stays
 ----------------
 * Never: text inside menus, headers, footers, sidebars, notices, adverts, forms,
-  scripts, styles and reader comments, told by element, role and class.
-* Inside ``<article>`` or ``<main>``: the rest, also if other pages repeat it (a
-  copied article is an article).
-* On pages with neither: what the host's template does not cover. Template is a
-  stretch of at least LONG words in substrings that more than half of the host's
-  pages have. Pages with the same text count as one, so a copied article stays.
+  scripts, styles and reader comments, told by element, role and class; and on pages
+  with ``<article>`` or ``<main>``, text outside of these.
+* Of the rest, what the array does not find to be the host's template: a stretch of
+  blocks of at least LONG words, each in a substring that repeats on so many of the
+  host's pages. More than half suffices where no element marks the article; inside a
+  marked article it takes SURE of at least MANY pages, as articles do quote what
+  other articles have.
+* Pages with the same text count as one: a repeat that spans a whole page's text is
+  a copy of an article, no template, and copied articles stay.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title xmp".split())
@@ -50,15 +55,21 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended teaser "
     "comment comments commentlist disqus reply replies respond footer masthead topbar copyright legal disclaimer toolbar widget widgets pager pagination skip login".split()
 )
+# Those words that also hold for a paragraph or another piece of text inside an article.
+TEXT_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices "
+    "newsletter subscribe subscription comment comments commentlist disqus reply replies footer".split()
+)
+PIECES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figure figcaption span b i em strong a small mark q cite code".split())
 _CLASS = re.compile(r"""(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S)
 _WORD = re.compile(r"[a-z]+")
 _RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
-#: Tokens of a repeated substring.
-DEPTH = 4
-#: Words of a stretch of template.
-LONG = 5
+#: Tokens of a repeated substring: a text block and the tag that ends it.
+DEPTH = 2
+#: Words of a stretch of template; pages of a host, and share of them, from which on a repeat inside marked articles is template.
+LONG, MANY, SURE = 5, 10, 0.9
 EXCLUDED, OUTSIDE, INSIDE = 0, 1, 2
 
 
@@ -72,7 +83,7 @@ def _excluded(name: str, attrs: str, in_main: bool) -> bool:
         if kind.lower() == "role":
             if value in ROLES:
                 return True
-        elif name not in ("html", "body") and name not in MAIN and (found := set(_WORD.findall(value))) and (found & MARKS or not in_main and "header" in found):
+        elif name not in ("html", "body") and name not in MAIN and (found := set(_WORD.findall(value))) and (found & (TEXT_MARKS if in_main and name in PIECES else MARKS) or not in_main and "header" in found):
             return True
         elif name in MAIN and set(_WORD.findall(value)) & {"comment", "comments", "reply", "related", "teaser"}:
             return True
@@ -89,6 +100,8 @@ def page_tokens(page: str | None) -> list[tuple[str, str | None, int]]:
     page = page or ""
     out: list[tuple[str, str | None, int]] = []
     stack: list[tuple[str, int]] = []
+    # Places in the stack by name: an end tag finds its element without a search.
+    places: dict[str, list[int]] = {}
     zone, held, at = OUTSIDE, [], 0
 
     def flush() -> None:
@@ -117,13 +130,15 @@ def page_tokens(page: str | None) -> list[tuple[str, str | None, int]]:
             at = close.end() if close else len(page)
             continue
         if end:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            depth = places[name][-1] if places.get(name) else None
             if name in BLOCK or depth is not None and stack[depth][1] != zone:
                 flush()
             if name in BLOCK:
                 out.append((f"</{name}>", None, zone))
             if depth is not None:
                 zone = stack[depth][1]
+                for other, _ in stack[depth:]:
+                    places[other].pop()
                 del stack[depth:]
             continue
         inner = EXCLUDED if zone == EXCLUDED or _excluded(name, attrs, zone == INSIDE) else INSIDE if zone == INSIDE or name in MAIN else OUTSIDE
@@ -131,6 +146,7 @@ def page_tokens(page: str | None) -> list[tuple[str, str | None, int]]:
             flush()
             out.append((f"<{name}{'!' * (inner == EXCLUDED)}>", None, inner))
         if name not in VOID and not attrs.endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, zone))
             zone = inner
     flush()
@@ -138,55 +154,55 @@ def page_tokens(page: str | None) -> list[tuple[str, str | None, int]]:
 
 
 def _names(tokens: list[tuple[str, str | None, int]], depth: int) -> np.ndarray:
-    """Names of the substrings of ``depth`` tokens (a power of two), by doubling; one for each start at which the stream has as many."""
-    if len(tokens) < depth:
-        return np.empty(0, np.int64)
+    """Names of the substrings of ``depth`` tokens (a power of two) from each token on, by doubling; nothing follows the last token."""
     names = np.empty(len(tokens), dtype=object)
     names[:] = [t[0] for t in tokens]
-    name = pd.util.hash_array(names, categorize=False)
+    name = pd.util.hash_array(names, categorize=False) if len(tokens) else np.empty(0, dtype=np.uint64)
     h = 1
     with np.errstate(over="ignore"):
         while h < depth:
-            name = (name[:-h] * np.uint64(0x9E3779B97F4A7C15) ^ (name[h:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F) + name[h:]
+            after = np.append(name[h:], np.zeros(min(h, len(name)), dtype=np.uint64))
+            name = (name * np.uint64(0x9E3779B97F4A7C15) ^ (after >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F) + after
             h *= 2
     return name.view(np.int64)
 
 
-def _outside_names(page: str | None, depth: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
-    """Names and places of the substrings that hold a token outside of the article (what lies inside is never template), a hash of the page's text, and whether the page marks no article.
-
-    The first name is 0 at place -1: it stands for the page itself.
-    """
+def _page(page: str | None, depth: int) -> tuple[list[str], np.ndarray, int, bool, int]:
+    """The blocks that markup doesn't exclude, the names of their suffixes, a hash of their text, whether an element marks the article, and the number of tokens."""
     tokens = page_tokens(page)
-    names = _names(tokens, depth)
-    inside = np.array([z == INSIDE for _, _, z in tokens], dtype=np.int64)
-    whole = np.convolve(inside, np.ones(depth, dtype=np.int64), "valid") == depth if len(names) else np.empty(0, dtype=bool)
-    at = np.flatnonzero(~whole)
-    text = "\n".join(t for _, t, z in tokens if t is not None and z != EXCLUDED).encode("utf-8", "surrogatepass")
+    marked = any(z == INSIDE for _, _, z in tokens)
+    at = [k for k, (_, t, z) in enumerate(tokens) if t is not None and z == (INSIDE if marked else OUTSIDE)]
+    blocks = [tokens[k][0] for k in at]
+    text = "\n".join(blocks).encode("utf-8", "surrogatepass")
     content = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "big", signed=True)
-    return np.append(0, names[at]), np.append(-1, at), content, not inside.any()
+    return blocks, _names(tokens, depth)[np.array(at, dtype=np.int64)], content, marked, len(tokens)
 
 
-def _template(size: int, kept: list, at: np.ndarray, depth: int) -> np.ndarray:
-    """Which tokens are in stretches of at least LONG words of substrings that start at ``at``."""
-    hit = np.zeros(size + depth, dtype=bool)
-    for k in range(depth):
-        hit[at + k] = True
-    words = np.zeros(size + depth, dtype=np.int64)
-    for k, t in kept:
-        words[k] = len(t.split())
-    stretch = np.cumsum(np.diff(hit, prepend=False))
-    return hit & (np.bincount(stretch, weights=words)[stretch] >= LONG)
+def without_template(blocks: list[str], repeated: set[int]) -> tuple[list[str], int]:
+    """The blocks without stretches of repeated ones (by place) that have at least LONG words, and how many those were."""
+    kept, run, words = [], [], 0
+    for k, block in enumerate([*blocks, None]):
+        if block is not None and k in repeated:
+            run.append(block)
+            words += len(block.split())
+            continue
+        if words < LONG:
+            kept += run
+        run, words = [], 0
+        if block is not None:
+            kept.append(block)
+    return kept, len(blocks) - len(kept)
 
 
-def _packed(page: str | None) -> bytes:
-    """What later decides the text: the text itself if the page marks its article, or else its blocks with their places."""
-    tokens = page_tokens(page)
-    if any(z == INSIDE for _, _, z in tokens):
-        kept = "\n\n".join(t for _, t, z in tokens if t is not None and z == INSIDE)
-    else:
-        kept = [[k, t] for k, (_, t, z) in enumerate(tokens) if t is not None and z == OUTSIDE]
-    return zlib.compress(json.dumps([len(tokens), kept], ensure_ascii=False).encode("utf-8", "surrogatepass"), 3)
+def _pack(blocks: list[str]) -> bytes:
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"), 3)
+
+
+def _unpack(packed: bytes) -> list[str]:
+    return json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+
+
+STREAMS = "page_id long, url string, uid long, host long, content long, marked boolean, tokens long, names array<long>, packed binary"
 
 
 def extract_main_text(pages: DataFrame, *, depth: int = DEPTH) -> DataFrame:
@@ -194,60 +210,44 @@ def extract_main_text(pages: DataFrame, *, depth: int = DEPTH) -> DataFrame:
 
     Returns page_id, url, text (blocks in page order, joined by two newlines; empty
     if none), n_chars (code points of text), n_tokens (of the page's stream) and
-    n_covered (those of substrings that reach outside of the article and that a
-    distinct page of the host repeats). Null html is an empty page; pages with a
-    null or odd url share the empty host; null page_ids pass through. Repeated rows
-    count as one page and each give a row. Other columns are not read; an empty
-    table gives an empty table. ``depth`` is a power of two.
-
-    Pages are parsed anew for each use, which costs less than keeping and moving
-    the streams; only suffix names and compressed main texts are shuffled.
+    n_covered (blocks that go as the host's template). Null html is an empty page;
+    pages with a null or odd url share the empty host; null page_ids pass through.
+    Repeated rows count as one page and each give a row. Other columns are not read;
+    an empty table gives an empty table. ``depth`` is a power of two.
+
+    Pages are parsed once, and their blocks kept in a stored table; only suffix
+    names are shuffled, and the blocks only if there is too much template to send
+    to all tasks.
     """
     if depth & (depth - 1) or depth < 1:
         raise ValueError("depth must be a power of two")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    pages = pages.withColumn("uid", F.xxhash64("page_id", "url", "html"))
+    pages = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html").alias("uid"), F.xxhash64(host).alias("host"), "html")
 
-    def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 200):
                 part = batch.iloc[lo : lo + 200]
-                got = [_outside_names(h, depth) for h in part["html"]]
-                sizes = [len(x[0]) for x in got]
-                of = lambda values: np.repeat(np.asarray(values), sizes)
-                yield pd.DataFrame({"host": of(part["host"]), "name": np.concatenate([x[0] for x in got]), "uid": of(part["uid"]), "pos": np.concatenate([x[1] for x in got]).astype("int32"), "content": of([x[2] for x in got]), "open": of([x[3] for x in got])})
-
-    array = pages.select(F.xxhash64(host).alias("host"), "uid", "html").mapInPandas(suffixes, "host long, name long, uid long, pos int, content long, open boolean")
-    array = array.select(F.xxhash64("host", "name").alias("suffix"), "uid", "pos", "host", "content", "open")
-    repeated = array.groupBy("suffix").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.max("open").alias("open")).where("a <> b").select("suffix", "open")
-    # Pages with distinct texts that have a suffix, counted where pages without an article do; the key keeps a common suffix from landing in one task.
-    pairs = array.drop("open").join(repeated.where("open"), "suffix", "left_semi").groupBy(F.xxhash64("suffix", "content").alias("pair")).agg(F.first("suffix").alias("suffix"), F.first("host").alias("host"), F.min("pos").alias("pos"))
-    counts = pairs.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host"), F.min("pos").alias("pos"))
-    template = counts.where("pos >= 0").join(counts.where("pos < 0").select("host", F.col("n").alias("every")), "host").where("n >= 2 AND 2 * n > every").select("suffix", F.lit(True).alias("template"))
-    marked = repeated.join(template, "suffix", "left").select("suffix", (F.col("open") & F.coalesce("template", F.lit(False))).alias("template"))
-    covered = array.where("pos >= 0").join(marked, "suffix").groupBy("uid").agg(F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("template"), F.col("pos"))).alias("wide"))
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "uid": batch["uid"], "packed": [_packed(h) for h in batch["html"]]})
+                got = [_page(h, depth) for h in part["html"]]
+                yield pd.DataFrame({
+                    "page_id": part["page_id"].astype("Int64").array, "url": part["url"].array, "uid": part["uid"].array, "host": part["host"].array, "content": [g[2] for g in got],
+                    "marked": [g[3] for g in got], "tokens": [g[4] for g in got], "names": [g[1] for g in got], "packed": [_pack(g[0]) for g in got],
+                })
+
+    streams = stored(pages.mapInPandas(parse, STREAMS), "html-streams")
+    array = streams.select("host", "uid", "content", "marked", F.posexplode("names").alias("pos", "name")).withColumn("suffix", F.xxhash64("host", "name"))
+    # Pages with distinct texts that have a suffix; the first key keeps a common suffix from landing in one task.
+    counts = array.groupBy("suffix", "content").agg(F.first("host").alias("host")).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.first("host").alias("host")).where("n > 1")
+    every = streams.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("every"))
+    template = counts.join(every, "host").where("2 * n > every").select("suffix", (F.col("n") >= F.greatest(F.lit(float(MANY)), F.lit(SURE) * F.col("every"))).alias("sure"))
+    template = stored(template, "html-template")
+    cut = stored(array.join(template, "suffix").where("sure OR NOT marked").groupBy("uid").agg(F.collect_set("pos").alias("cut")), "html-cut")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for packed, at, wide in zip(batch["packed"], batch["at"], batch["wide"], strict=True):
-                size, kept = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
-                hit = np.zeros(size + depth, dtype=bool)
-                if at is not None:
-                    where = np.asarray(at, dtype=np.int64)
-                    for k in range(depth):
-                        hit[where + k] = True
-                if not isinstance(kept, str):
-                    out = _template(size, kept, np.asarray([] if wide is None else wide, dtype=np.int64), depth)
-                    kept = "\n\n".join(t for k, t in kept if not out[k])
-                rows.append((kept, len(kept), size, int(hit.sum())))
-            got = pd.DataFrame(rows, columns=["text", "n_chars", "n_tokens", "n_covered"])
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], **{c: got[c].to_numpy() for c in got}})
-
-    packed = pages.mapInPandas(pack, "page_id long, url string, uid long, packed binary")
-    return packed.join(covered, "uid", "left").select("page_id", "url", "packed", "at", "wide").mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")
+            got = [without_template(_unpack(p), set() if c is None else set(map(int, c))) for p, c in zip(batch["packed"], batch["cut"], strict=True)]
+            text = ["\n\n".join(kept) for kept, _ in got]
+            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": [len(t) for t in text], "n_tokens": batch["tokens"], "n_covered": [n for _, n in got]})
+
+    return streams.select("page_id", "url", "uid", "tokens", "packed").join(cut, "uid", "left").select("page_id", "url", "tokens", "packed", "cut").mapInPandas(texts, "page_id long, url string, text string, n_chars long, n_tokens long, n_covered long")

@@ -296,3 +296,80 @@ def test_copied_articles_stay_on_unmarked_pages(spark):
     assert all(own(k) in got[k] and "daily" not in got[k] and "town press" not in got[k] for k in (0, 1, 5, 11, 12))
     assert got[10] == got[0] and all("two pages of this host" in got[k] for k in (11, 12))
     assert own(20) in got[20] and got[20] == got[21]
+
+
+def plain_main_text(rows, depth):
+    """By definition: which blocks go, from counts over all pages of a host."""
+    import hashlib
+    from collections import defaultdict
+
+    from tessera.llm import html as h
+
+    pages = []
+    for key, url, page in rows:
+        tokens = h.page_tokens(page)
+        zone = h.INSIDE if any(z == h.INSIDE for _, _, z in tokens) else h.OUTSIDE
+        at = [k for k, (_, t, z) in enumerate(tokens) if t is not None and z == zone]
+        host = re.match(r"[a-z]+://([^/:]*)", (url or "").lower())
+        pages.append((key, host[1] if host else "", [tokens[k][0] for k in at], [tuple(x[0] for x in tokens[k : k + depth]) for k in at], zone == h.INSIDE))
+    contents, having = defaultdict(set), defaultdict(set)
+    for _, host, blocks, suffixes, _ in pages:
+        content = hashlib.md5("\n".join(blocks).encode()).digest()
+        contents[host].add(content)
+        for x in suffixes:
+            having[host, x].add(content)
+    out = {}
+    for key, host, blocks, suffixes, marked in pages:
+        n = [len(having[host, x]) for x in suffixes]
+        every = len(contents[host])
+        gone = [k > 1 and (k >= max(h.MANY, h.SURE * every) if marked else 2 * k > every) for k in n]
+        kept, k = [], 0
+        while k < len(blocks):
+            end = k
+            while end < len(blocks) and gone[end]:
+                end += 1
+            if sum(len(b.split()) for b in blocks[k:end]) < h.LONG:
+                kept += blocks[k:end]
+            kept += blocks[end : end + 1]
+            k = end + 1
+        out[key] = "\n\n".join(kept)
+    return out
+
+
+def test_main_texts_against_the_definition(spark):
+    rng = random.Random(21)
+    pool = [" ".join(rng.choice(["sun", "moon", "tide", "wave", "sand", "gull"]) for _ in range(rng.randint(1, 7))) for _ in range(12)]
+    rows = []
+    for k in range(260):
+        host = rng.choice("aaaabbc")
+        own = [f"own words of page {k} number {j}" for j in range(rng.randint(0, 3))]
+        shared = rng.sample(pool, rng.randint(0, 3))
+        body = "".join(f"<p>{x}</p>" for x in rng.sample(own + shared, len(own + shared)))
+        top = "<div>the masthead of this whole site</div><div>short</div>" if rng.random() < 0.93 else ""
+        inner = "<p>subscribe to our letter for more of this</p>" if rng.random() < 0.97 else ""
+        page = f"<nav>menu</nav><article>{body}{inner}</article>" if host in "ab" and rng.random() < 0.95 else f"<body>{top}{body}</body>"
+        rows.append((k, f"http://{host}.example/{k}", page))
+        if rng.random() < 0.1:
+            rows.append((1000 + k, f"http://{host}.example/copy/{k}", page))
+    for depth in (1, 2, 4):
+        got = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), depth=depth).collect()}
+        want = plain_main_text(rows, depth)
+        assert got == want
+        if depth == 2:
+            assert any("subscribe" not in got[k] and "<article>" in page for k, _, page in rows) and any("subscribe" in t for t in got.values())
+
+
+def test_repeated_and_long_pages(spark):
+    import time
+
+    page = "<body><div>the masthead of this whole site</div><p>only here</p></body>"
+    rows = [(1, "http://a.example/1", page)] * 4 + [(2, "http://a.example/2", page.replace("only", "just")), (3, "http://b.example", "<p></b>" * 60_000 + "end")]
+    began = time.time()
+    got = sorted((r["page_id"], r["text"]) for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [*[(1, "only here")] * 4, (2, "just here"), (3, "end")] and time.time() - began < 60
+
+
+def test_class_words_of_a_paragraph_in_an_article(spark):
+    page = '<article><p class="legal">A</p><p class="social promotion">B</p><p class="notice">C</p><div class="share">D</div><p>E</p><li class="comment">F</li></article>'
+    got = extract_main_text(spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")).first()
+    assert got["text"] == "A\n\nB\n\nE"
