@@ -35,16 +35,14 @@ class Model:
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         """Probability of label 1 for each whole text; a text without words gets that of the bias."""
-        out = np.empty(len(texts))
-        for first, last, data, starts in pieces(texts):
-            total = np.zeros(last - first)
-            count = np.zeros(last - first)
-            for at, bucket in features(data, starts, self.sizes, self.buckets):
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for first, last, data, starts, old in pieces(texts):
+            for at, bucket in features(data, starts, self.sizes, self.buckets, old):
                 bounds = np.searchsorted(at, np.append(starts, len(data)))
                 run = np.concatenate(([0.0], np.cumsum(self.table[bucket])))
-                total += np.diff(run[bounds])
-                count += np.diff(bounds)
-            out[first:last] = self.bias + total / (count + PRIOR)
+                total[first:last] += np.diff(run[bounds])
+                count[first:last] += np.diff(bounds)
+        out = self.bias + total / (count + PRIOR)
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
@@ -59,14 +57,17 @@ def train(texts: Sequence[str], labels: Sequence[int], *, sizes: tuple[int, ...]
     share = (y.sum() + 1) / (len(y) + 2)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(rows), float(np.log(share / (1 - share))), sizes, buckets)
-    bags: list[tuple[np.ndarray, np.ndarray]] = []
-    for first, last, data, starts in pieces(texts, 1 << 16):
-        got = features(data, starts, sizes, buckets)
+    held: list[list[np.ndarray]] = [[] for _ in texts]
+    for first, last, data, starts, old in pieces(texts, 1 << 16):
+        got = features(data, starts, sizes, buckets, old)
         at, bucket = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         doc = np.searchsorted(starts, at, side="right") - 1
         for k in range(last - first):
-            ids, counts = np.unique(bucket[doc == k], return_counts=True)
-            bags.append((ids, counts / (counts.sum() + PRIOR)))
+            held[first + k].append(bucket[doc == k])
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
+    for parts in held:
+        ids, counts = np.unique(np.concatenate(parts), return_counts=True)
+        bags.append((ids, counts / (counts.sum() + PRIOR)))
     e = rng.uniform(-1 / width, 1 / width, (rows, width))
     w = np.zeros((2, width))
     b = np.zeros(2)

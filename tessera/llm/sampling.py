@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,18 +16,23 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, modulus: int, remainder: int, rows: int, longest: int, seed: int = 11) -> tuple[list[str], list[int], float]:
     """Texts and labels of at most ``rows`` documents of each class outside the held-out fold, and the share of label 1 in all of it.
 
-    Chosen by a hash of the id, so reruns agree; texts of more than ``longest``
-    characters are not sampled, so the driver gets at most
-    2 * rows * longest characters. Null labels, ids and texts are not sampled, and
-    a repeated id once.
+    Chosen by a hash of the id among the labelled documents that ``docs`` holds, so
+    reruns agree; texts of more than ``longest`` characters are not sampled, so the
+    driver gets at most 2 * rows * longest characters. Null labels, ids and texts are
+    not sampled, and a repeated id once. Labels of which no document can be sampled
+    are reported by a warning: the caller's model is constant then.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     ids = ids.where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"), modulus, remainder)).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col("doc_id")]
-    # Some chosen ids may have no document here, or too long a text: twice as many are looked up.
-    chosen = ids.where("y = 1").orderBy(*order).limit(2 * rows).unionByName(ids.where("y = 0").orderBy(*order).limit(2 * rows))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= longest)).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(*order))).where(F.col("r") <= rows).orderBy("doc_id")
+    # Which documents can be had is settled on their ids alone; only the chosen texts are read after that.
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= longest)
+    there = ids.join(usable.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.where("y = 1").orderBy(*order).limit(rows).unionByName(there.where("y = 0").orderBy(*order).limit(rows))
+    # At most 2 * rows ids, so they may go to all tasks.
+    found = usable.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
     got = found.select("text", "y").collect()
     ones, every = ids.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
+    if every and len({r["y"] for r in got}) < min(2, (ones > 0) + (ones < every)):
+        warnings.warn(f"no labelled text of one of the classes of {label} is there and has at most {longest} characters", UserWarning, stacklevel=2)
     return [r["text"] for r in got], [r["y"] for r in got], (ones + 1) / (every + 2)

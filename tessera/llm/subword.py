@@ -1,7 +1,9 @@
 """Hashed subword features of whole texts, in numpy.
 
-Texts are handled as UTF-8 bytes, about a megabyte at a time, so memory doesn't
-grow with the batch; a longer text is a piece of its own and is never cut.
+Texts are handled as UTF-8 bytes, about a megabyte at a time, so memory grows neither
+with the batch nor with a text: a longer text is read in windows that end at a word's
+border, and what its windows hold adds up. A word longer than a window is read as
+several words.
 """
 
 from __future__ import annotations
@@ -30,19 +32,43 @@ _POWERS = _Cache()
 _SPACES = bytes(32 if c in (9, 10, 11, 12, 13, 32) else c for c in range(256))
 
 
-def pieces(texts: Sequence[str | None], size: int = PIECE) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """(first, last, bytes, starts) of runs of texts: each text is preceded by a space, one more ends the run."""
+def pieces(texts: Sequence[str | None], size: int | None = None) -> Iterator[tuple[int, int, bytes, np.ndarray, int]]:
+    """(first, last, bytes, starts, old) of runs of texts, or of a window of one text.
+
+    Each text is preceded by a space, one more ends the run. The first ``old`` bytes
+    are the word before the window, which the window before has held already.
+    """
+    size = size or PIECE
     first, parts, starts, at = 0, [], [], 0
     for k, text in enumerate(texts):
         raw = b" " + (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass").translate(_SPACES)
         if parts and at + len(raw) > size:
-            yield first, k, b"".join(parts) + b" ", np.array(starts, dtype=np.int64)
+            yield first, k, b"".join(parts) + b" ", np.array(starts, dtype=np.int64), 0
             first, parts, starts, at = k, [], [], 0
+        if len(raw) > size:
+            for window, old in _windows(raw, size):
+                yield k, k + 1, window + b" ", np.zeros(1, dtype=np.int64), old
+            first = k + 1
+            continue
         parts.append(raw)
         starts.append(at)
         at += len(raw)
     if parts:
-        yield first, len(texts), b"".join(parts) + b" ", np.array(starts, dtype=np.int64)
+        yield first, first + len(parts), b"".join(parts) + b" ", np.array(starts, dtype=np.int64), 0
+
+
+def _windows(raw: bytes, size: int) -> Iterator[tuple[bytes, int]]:
+    """Windows of about ``size`` bytes, each after the first led by the word before it and the length of that with its space."""
+    at, before = 0, b""
+    while at < len(raw):
+        end = len(raw) if at + size >= len(raw) else raw.rfind(b" ", at + 1, at + size)
+        if end <= at:
+            end = at + size
+        part = raw[at:end]
+        yield before + (part if part.startswith(b" ") else b" " + part), len(before)
+        last = part.rstrip(b" ")
+        before = b" " + last[last.rfind(b" ") + 1 :] if last else before
+        at = end
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -77,19 +103,22 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return h * _MIX
 
 
-def features(data: bytes, texts: np.ndarray, sizes: Sequence[int], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def features(data: bytes, texts: np.ndarray, sizes: Sequence[int], buckets: int, old: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     """(position, bucket) of each feature: words first, then the byte n-grams inside words, last the word bigrams of one word with itself.
 
     A word's border counts as a character of its n-grams. Kind k has the buckets
     from k * buckets on; the bigrams of equal words share one bucket after all
-    others. ``texts`` holds the texts' starts, which no bigram crosses.
+    others. ``texts`` holds the texts' starts, which no bigram crosses. The first
+    ``old`` bytes only count as the word before.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
     shift = np.uint64(64 - buckets.bit_length() + 1)
     starts, ends = word_spans(raw)
     hashes = word_hashes(raw, starts, ends)
-    out = [(starts, (hashes >> shift).astype(np.int64))]
+    new = starts >= old
+    out = [(starts[new], (hashes[new] >> shift).astype(np.int64))]
     inner = raw != 32
+    inner[:old] = False
     for kind, n in enumerate(sizes, 1):
         if len(raw) < n:
             out.append((np.empty(0, np.int64), np.empty(0, np.int64)))

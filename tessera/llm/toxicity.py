@@ -8,15 +8,18 @@ kernel values, which are sums over subsequences, they fold into one table with a
 number for each subsequence, and a word's decision is a sum of table entries over
 its subsequences, divided by its norm.
 
-Training is by labelled sentences: sentences of toxic texts carry their text's
-label, and their words that toxic texts favour are the witnesses; words of clean
-texts are the counterexamples. A text's score is a logistic function of how many
-of its words the machine marks, their density and the largest decision.
+The machine is trained on labelled sentences. A sentence's decision is that of its
+worst word. Sentences of clean texts are labelled 0; of a toxic text at least one
+sentence is 1, and which ones is learnt along with the machine (multiple-instance
+learning): in each round a toxic text's worst sentence counts as 1, by its worst
+word, and the worst words of clean sentences are counterexamples. The first round
+takes words that toxic texts favour. A text's
+score is a logistic function of how many of its sentences the machine marks, the
+density of marked words and the largest decision.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -35,7 +38,8 @@ SYMBOLS = 64
 WINDOW = 16
 # Characters that often stand in for letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_SENTENCE = re.compile(r"[.!?\n]+")
+#: A sentence ends with a word that ends in one of these, quotes and brackets aside.
+_STOPS = frozenset(b".!?")
 
 
 def _symbol(c: str) -> int:
@@ -103,12 +107,17 @@ def kernel_rows(rows: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    """``table``: the machine's weight of each subsequence; ``bias``: of the machine; ``final``: logistic weights."""
+    """``table``: the machine's weight of each subsequence; ``bias``: of the machine; ``final``: logistic weights.
+
+    ``marks`` and ``alpha`` are the landmarks and their weights, which ``table`` folds up.
+    """
 
     table: np.ndarray
     bias: float
     final: np.ndarray
     decay: float = 0.6
+    marks: tuple[str, ...] = ()
+    alpha: np.ndarray = field(default_factory=lambda: np.zeros(0), repr=False)
     known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
@@ -142,13 +151,17 @@ class Model:
         return out
 
     def text_features(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Rows of (1, log of marked words, marked words in a hundred, largest decision) for whole texts."""
-        out = np.zeros((len(texts), 4))
-        out[:, 0] = 1
-        out[:, 3] = -2
-        for first, last, data, starts in pieces(texts):
+        """Rows of (1, log of marked sentences, marked words in a hundred, largest decision) for whole texts.
+
+        A sentence that a window of a very long text cuts counts as two.
+        """
+        marked, words, sentences = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+        most = np.full(len(texts), -2.0)
+        for first, last, data, starts, old in pieces(texts):
             raw = np.frombuffer(data, dtype=np.uint8)
             begin, end = word_spans(raw)
+            if old:
+                begin, end = begin[begin >= old], end[begin >= old]
             if not len(begin):
                 continue
             hashes = word_hashes(raw, begin, end)
@@ -157,8 +170,8 @@ class Model:
             value = np.array([self.known.get(h, np.nan) for h in unique.tolist()])
             new = np.flatnonzero(np.isnan(value))
             if len(new):
-                words = [data[begin[i] : end[i]].decode("utf-8", "replace") for i in at[new]]
-                value[new] = self.decide(words)
+                spelt = [data[begin[i] : end[i]].decode("utf-8", "replace") for i in at[new]]
+                value[new] = self.decide(spelt)
                 if len(self.known) > 400_000:
                     self.known.clear()
                 self.known.update(zip(unique[new].tolist(), value[new].tolist(), strict=True))
@@ -169,19 +182,45 @@ class Model:
                     each[i] = max(each[i], v)
             doc = np.searchsorted(starts, begin, side="right") - 1
             n = last - first
-            marked = np.bincount(doc, weights=each > 0, minlength=n)
-            count = np.bincount(doc, minlength=n)
-            most = np.full(n, -2.0)
-            np.maximum.at(most, doc, np.clip(each, -2, 2))
-            out[first:last, 1] = np.log1p(marked)
-            out[first:last, 2] = np.minimum(10, 100 * marked / np.maximum(count, 1))
-            out[first:last, 3] = most
-        return out
+            head = sentence_starts(raw, begin, end, doc)
+            bad = np.maximum.reduceat(each, head) > 0
+            sentences[first:last] += np.bincount(doc[head], weights=bad, minlength=n)
+            marked[first:last] += np.bincount(doc, weights=each > 0, minlength=n)
+            words[first:last] += np.bincount(doc, minlength=n)
+            np.maximum.at(most, doc + first, np.clip(each, -2, 2))
+        return np.column_stack([np.ones(len(texts)), np.log1p(sentences), np.minimum(10, 100 * marked / np.maximum(words, 1)), most])
 
     def score(self, texts: Sequence[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.text_features(texts) @ self.final, -40, 40)))
 
 
+def sentence_starts(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a sentence; no sentence goes on in another text."""
+    last = end - 1
+    # A closing quote or bracket may follow the stop.
+    closing = np.isin(raw[last], np.frombuffer(b"\"')]}", dtype=np.uint8)) & (last > begin)
+    stop = np.isin(raw[last - closing], np.array(sorted(_STOPS), dtype=np.uint8))
+    return np.flatnonzero(np.concatenate(([True], stop[:-1] | (doc[1:] != doc[:-1]))))
+
+
+def _sentences(texts: Sequence[str]) -> list[list[list[str]]]:
+    """The sentences of each text as lists of words, bare of the punctuation around them."""
+    out: list[list[list[str]]] = [[] for _ in texts]
+    for first, _, data, starts, old in pieces([t.lower() for t in texts]):
+        raw = np.frombuffer(data, dtype=np.uint8)
+        begin, end = word_spans(raw)
+        if old:
+            begin, end = begin[begin >= old], end[begin >= old]
+        if not len(begin):
+            continue
+        doc = np.searchsorted(starts, begin, side="right") - 1
+        heads = sentence_starts(raw, begin, end, doc)
+        words = [data[a:b].decode("utf-8", "replace").strip(_AROUND) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(words)], strict=True):
+            out[first + int(doc[a])].append([w for w in words[a:b] if len(w) >= 3])
+    return out
+
+
 def _spelled_out(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Runs of at least four words of one character, one space apart: (first word, word after)."""
     single = (end - begin) == 1
@@ -219,24 +258,32 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
     return w
 
 
-#: Rounds of training, each with the counterexamples that the one before got wrong.
+#: Punctuation around a word.
+_AROUND = "#$%&*,;:|\"'().!?"
+#: Rounds of training, each with the sentences' worst words under the machine of the one before.
 ROUNDS = 3
+#: The most words of either kind that a round trains on, by weight: more sentences than these stand for is beyond a driver's dense matrix.
+WITNESSES, HARD = 1000, 3000
 
 
-def _fit_words(witness: Sequence[str], seen: Sequence[float], other: Sequence[str], common: Sequence[float], marks: Sequence[str], decay: float, ridge: float) -> Model:
-    """The machine for witness words against the others, folded into a table by way of the Nystrom map on ``marks``."""
-    words = [*witness, *other]
-    target = np.array([1.0] * len(witness) + [-1.0] * len(other))
-    weight = np.array([*seen, *common], dtype=float) ** 0.5
-    weight[target > 0] *= weight[target < 0].sum() / weight[target > 0].sum() * 0.5
+def _unit(words: Sequence[str], decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(subsequence codes, weights, norm, word) of each window of the words."""
+    rows, owner = encode(words)
+    code, value = kernel_rows(rows, decay)
+    return code, value, np.sqrt(np.maximum(self_kernel(rows, decay), 1e-6)), owner
 
-    def phi(some: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows, owner = encode(some)
-        rows = rows[np.unique(owner, return_index=True)[1]]
-        code, value = kernel_rows(rows, decay)
-        return code, value, np.sqrt(np.maximum(self_kernel(rows, decay), 1e-6))
 
-    code, value, norm = phi(marks)
+def _fit_words(witness: Sequence[str], seen: Sequence[float], other: Sequence[str], common: Sequence[float], marks: Sequence[str], decay: float, ridge: float, before: Model | None) -> Model:
+    """The machine for the worst words of toxic sentences against others, folded into a table by way of the Nystrom map on ``marks``.
+
+    All windows of a long counterexample train; of a long witness, the worst window under the machine ``before``.
+    """
+    words = [*witness, *other]
+    weight = np.array([*seen, *common], dtype=float) ** 0.5
+    # A landmark is one window: the first of a long word.
+    code, value, norm, owner = _unit(marks, decay)
+    first = np.unique(owner, return_index=True)[1]
+    code, value, norm = code[first], value[first], norm[first]
     dense = np.zeros((len(marks), SYMBOLS**3), dtype=np.float32)
     for k in range(len(marks)):
         np.add.at(dense[k], code[k], value[k] / norm[k])
@@ -245,48 +292,81 @@ def _fit_words(witness: Sequence[str], seen: Sequence[float], other: Sequence[st
     place[used] = np.arange(len(used))
     lam, u = np.linalg.eigh((small.T @ small).astype(float))
     whiten = u / np.sqrt(np.maximum(lam, 1e-3)) @ u.T
-    x = np.empty((len(words), len(marks)))
+    x, whose = [], []
     for lo in range(0, len(words), 500):
-        code, value, norm = phi(words[lo : lo + 500])
+        code, value, norm, owner = _unit(words[lo : lo + 500], decay)
         at = place[code]
         for k in range(len(code)):
             ok = (at[k] >= 0) & (value[k] > 0)
-            x[lo + k] = value[k][ok] @ small[at[k][ok]] / norm[k]
+            x.append(value[k][ok] @ small[at[k][ok]] / norm[k])
+            whose.append(owner[k] + lo)
+    x, whose = np.array(x, dtype=float), np.array(whose)
+    old = x @ before.alpha if before is not None and before.marks == tuple(marks) else -np.arange(len(x), dtype=float)
+    order = np.lexsort((-old, whose))
+    worst = np.zeros(len(x), dtype=bool)
+    worst[order[np.unique(whose[order], return_index=True)[1]]] = True
+    use = worst | (whose >= len(witness))
+    x, whose = x[use], whose[use]
+    target, weight = np.where(whose < len(witness), 1.0, -1.0), weight[whose]
+    weight[target > 0] *= weight[target < 0].sum() / weight[target > 0].sum() * 0.5
     w = _machine(np.hstack([x @ whiten, np.ones((len(x), 1))]), target, weight, ridge)
+    alpha = whiten @ w[:-1]
     table = np.zeros(SYMBOLS**3, dtype=np.float32)
-    table[used] = small @ (whiten @ w[:-1])
-    return Model(table, float(w[-1]), np.zeros(4), decay)
+    table[used] = small @ alpha
+    return Model(table, float(w[-1]), np.zeros(4), decay, tuple(marks), alpha)
 
 
 def train(texts: Sequence[str], labels: Sequence[int], *, share: float = 0.1, decay: float = 0.6, landmarks: int = 160, counterexamples: int = 8000, ridge: float = 1.0, seed: int = 5) -> Model:
-    """Fit machine and final weights; ``share``: that of label 1 in the corpus. Without both labels: ``share`` for all."""
+    """Fit machine and final weights; ``share``: that of label 1 in the corpus. Without both labels, or without words: ``share`` for all."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, dtype=np.int64)
+    nothing = Model(np.zeros(SYMBOLS**3, dtype=np.float32), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0]), decay)
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(SYMBOLS**3, dtype=np.float32), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0]), decay)
+        return nothing
+    split = _sentences(texts)
     toxic, clean = Counter(), Counter()
-    for text, label in zip(texts, y, strict=True):
-        sentences = _SENTENCE.split(text.lower())
-        seen = {w for s in sentences for w in s.split()}
-        (toxic if label else clean).update(w.strip("#$%&*,;:|\"'()") for w in seen)
+    for sentences, label in zip(split, y, strict=True):
+        (toxic if label else clean).update({w for s in sentences for w in s})
     n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {w: np.log((k + 0.1) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)) for w, k in toxic.items() if k >= max(3, 0.002 * n1) and len(w) >= 3}
-    witness = sorted((w for w, o in odds.items() if o > 1.5), key=lambda w: (-toxic[w] * odds[w], w))
-    favoured = set(witness)
-    rest = sorted(w for w in clean if len(w) >= 3 and w not in favoured)
-    if not witness or not rest:
-        return Model(np.zeros(SYMBOLS**3, dtype=np.float32), -1.0, np.array([np.log(share / (1 - share)), 0, 0, 0]), decay)
-    p = np.array([clean[w] for w in rest], dtype=float) ** 0.25
-    other = [rest[i] for i in np.sort(rng.choice(len(rest), min(counterexamples, len(rest)), replace=False, p=p / p.sum()))]
-    witness = witness[:600]
-    model, hard = None, []
-    for _ in range(ROUNDS):
-        marks = witness[: landmarks // 2] + hard[: landmarks // 4] + other[: landmarks // 4]
-        model = _fit_words(witness, [toxic[w] for w in witness], hard + other, [1.0 + clean[w] for w in hard + other], marks, decay, ridge)
-        # Words of clean texts that the machine marks are the next round's counterexamples.
-        taken = set(hard) | set(other)
-        found = [(v * (1 + clean[w]), w) for w, v in zip(rest, model.decide(rest), strict=True) if v > -0.3 and w not in taken]
-        hard = hard + [w for _, w in sorted(found, key=lambda x: (-x[0], x[1]))[:3000]]
+    odds = {w: np.log((k + 0.1) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)) for w, k in toxic.items() if k >= max(3, 0.002 * n1)}
+    favoured = sorted((w for w, o in odds.items() if o > 1.5), key=lambda w: (-toxic[w] * odds[w], w))
+    harmless = sorted(w for w in clean if w not in set(favoured))
+    if not favoured or not harmless:
+        return nothing
+    p = np.array([clean[w] for w in harmless], dtype=float) ** 0.25
+    other = [harmless[i] for i in np.sort(rng.choice(len(harmless), min(counterexamples, len(harmless)), replace=False, p=p / p.sum()))]
+    # Sentences as places in one list of all words; only sentences with words can be judged.
+    words = sorted(set(toxic) | set(clean))
+    number = {w: k for k, w in enumerate(words)}
+    flat = [(t, [number[w] for w in s]) for t, sentences in enumerate(split) for s in sentences if s]
+    text_of = np.array([t for t, _ in flat])
+    heads = np.cumsum([0, *[len(s) for _, s in flat]])[:-1]
+    inner, size = np.concatenate([s for _, s in flat]), np.array([len(s) for _, s in flat])
+    may = np.array([(toxic[w] + 0.1) / (n1 + 1) > 1.5 * (clean[w] + 0.5) / (n0 + 1) for w in words])
+    witness, hard = Counter({w: toxic[w] for w in favoured[:WITNESSES]}), Counter()
+    model = None
+    for turn in range(ROUNDS):
+        if turn:
+            value = model.decide(words)
+            # A word that toxic texts don't favour makes no sentence toxic.
+            chosen = np.where(may, value, -np.inf)
+            bad = y[text_of] == 1
+            each = np.where(np.repeat(bad, size), chosen[inner], value[inner])
+            top = np.maximum.reduceat(each, heads)
+            # The first word that has its sentence's decision.
+            hit = np.flatnonzero(each == np.repeat(top, size))
+            worst = inner[hit[np.searchsorted(hit, heads)]]
+            best = np.full(len(texts), -np.inf)
+            np.maximum.at(best, text_of, top)
+            ones = bad & (top > -np.inf) & (top == best[text_of])
+            witness = Counter(words[w] for w in worst[ones].tolist())
+            taken = set(other)
+            hard = Counter(words[w] for w in worst[~bad & (top > -0.3)].tolist()) | Counter({w: hard[w] for w in hard})
+            hard = Counter({w: n for w, n in hard.items() if w not in taken})
+        ranked = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))][:WITNESSES]
+        wrong = [w for w, _ in sorted(hard.items(), key=lambda x: (-x[1], x[0]))][:HARD]
+        marks = list(dict.fromkeys(ranked[: landmarks // 2] + wrong[: landmarks // 4] + other[: landmarks // 4]))
+        model = _fit_words(ranked, [witness[w] for w in ranked], wrong + other, [1.0 + clean[w] for w in wrong + other], marks, decay, ridge, model)
     balance = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     model.final = _logistic(model.text_features(list(texts)), y.astype(float), balance)
     return model

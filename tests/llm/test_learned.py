@@ -5,9 +5,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, toxicity
+from tessera.llm import quality, subword, toxicity
 from tessera.llm.ann import fit_codebook, nearest
 from tessera.llm.subword import features, pieces
 
@@ -67,9 +68,83 @@ def test_string_kernel_by_definition():
         assert np.isclose(value, sum(v * v for v in phi.values()), rtol=1e-4)
 
 
+def spectrum(word, decay):
+    """Subsequences of three of a word's only window, as a unit vector."""
+    row = toxicity.encode([word])[0][0]
+    phi = {}
+    for i, j, k in itertools.combinations(range(len(row)), 3):
+        if row[i] and row[j] and row[k]:
+            phi[row[i], row[j], row[k]] = phi.get((row[i], row[j], row[k]), 0) + decay ** (k - i + 1)
+    norm = sum(v * v for v in phi.values()) ** 0.5
+    return {u: v / norm for u, v in phi.items()}
+
+
+def test_decisions_are_those_of_the_nystrom_machine():
+    rows = corpus(random.Random(4), 0.4)
+    model = toxicity.train([r[1] for r in rows], [r[3] for r in rows], landmarks=40, counterexamples=300)
+    marks = [spectrum(m, model.decay) for m in model.marks]
+    words = ["nitwit", "nit-wit", "blockheads", "gata", "numskull", "zzz", "t0p"]
+    for word, got in zip(words, model.decide(words), strict=True):
+        phi = spectrum(word, model.decay)
+        kernel = [sum(v * m.get(u, 0) for u, v in phi.items()) for m in marks]
+        assert np.isclose(got, np.dot(kernel, model.alpha) + model.bias, atol=2e-3), word
+
+
+def test_scores_by_sentences_against_plain_python():
+    rows = corpus(random.Random(5), 0.4)
+    model = toxicity.train([r[1] for r in rows], [r[3] for r in rows], landmarks=40, counterexamples=300)
+    texts = [r[1] for r in rows[:60]] + ["", None, 'He said "you nitwit." Then (fine!) more. x', "no stop at all nitwit here", "nitwit. " * 3, "a. b? c! d"]
+    got = model.text_features(texts)
+    for text, row in zip(texts, got, strict=True):
+        words = (text or "").split()
+        value = [float(v) for v in model.decide(words)] if words else []
+        marked, worst = 0, None
+        for word, v in zip(words, value, strict=True):
+            worst = v if worst is None else max(worst, v)
+            if (word[:-1] if len(word) > 1 and word[-1] in "\"')]}" else word)[-1] in ".!?":
+                marked, worst = marked + (worst > 0), None
+        marked += worst is not None and worst > 0
+        share = 100 * sum(v > 0 for v in value) / max(1, len(value))
+        assert np.allclose(row, [1, math.log1p(marked), min(10, share), min(2, max([-2, *value]))], atol=1e-3), text
+
+
+def test_long_texts_are_read_whole(monkeypatch):
+    rows = corpus(random.Random(6), 0.3)
+    bad = toxicity.train([r[1] for r in rows], [r[3] for r in rows], landmarks=40, counterexamples=300)
+    good = quality.train([r[1] for r in rows], [r[2] for r in rows])
+    filler = "gata bela cora. " * 40_000
+    assert bad.score([filler + "nitwit numskull blockhead. "])[0] > bad.score([filler])[0]
+    texts = [rows[k][1] for k in range(40)] + [" ".join(r[1] for r in rows[:60]), "", None, "a a a a"]
+    one, two = good.score(texts), bad.text_features(texts)
+    monkeypatch.setattr(subword, "PIECE", 200)
+    assert np.allclose(good.score(texts), one, atol=1e-9)
+    assert np.allclose(bad.text_features(texts)[:, 2:], two[:, 2:], atol=1e-9)
+
+
+def test_quality_scores_by_definition():
+    """The folded table against the mean of the features' numbers, feature by feature."""
+    rows = corpus(random.Random(7))
+    model = quality.train([r[1] for r in rows[:300]], [r[2] for r in rows[:300]], epochs=1)
+    for text in [rows[0][1], "one", "", "aa aa ab"]:
+        total, count = 0.0, 0
+        for _, _, data, starts, _ in pieces([text]):
+            for at, bucket in features(data, starts, model.sizes, model.buckets):
+                for b in bucket.tolist():
+                    total, count = total + model.table[b], count + 1
+        assert np.isclose(model.score([text])[0], 1 / (1 + math.exp(-(model.bias + total / (count + quality.PRIOR)))))
+
+
+def test_training_without_usable_rows_says_so(spark):
+    docs = spark.createDataFrame([(k, "word " * 50) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="no labelled text"):
+        quality.fit_quality(docs, labels, longest=10)
+
+
 def test_features_by_definition():
     texts = ["ab abc  abc\tx", "", None, "x x é"]
-    for first, last, data, starts in pieces(texts):
+    for first, last, data, starts, old in pieces(texts):
+        assert old == 0
         got = features(data, starts, (3,), 1 << 10)
         raw = data.decode()
         assert (first, last) == (0, 4) and len(got[0][0]) == len(raw.split())
