@@ -48,34 +48,41 @@ def sequence_lengths(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return records.groupBy(*keys, "seqid").agg(F.sum(F.length("sequence")).cast("long").alias("length"))
 
 
-def phred_offset(least: Column, offset: str | int = "auto") -> Column:
-    """Quality offset: the one given, or 33; an explicit 64 below which a quality lies is an error."""
-    if offset in (64, "64"):
-        return F.when(least < 64, F.raise_error(F.lit("quality below the offset 64")).cast("int")).otherwise(F.lit(64))
-    return F.lit(33)
+def quality_encoding(least: Column, offset: str | int = 33) -> Column:
+    """Name of the quality encoding: as given, 33 or 64, or for ``auto`` 33, ambiguous where no quality lies below 64.
+
+    An explicit 64 below which a quality lies is an error on reading; without any quality, too.
+    """
+    if str(offset) == "33":
+        return F.lit("sanger_phred33")
+    if str(offset) == "64":
+        return F.when(F.coalesce(least, F.lit(0)) < 64, F.raise_error(F.lit("quality below the offset 64")).cast("string")).otherwise("illumina_phred64")
+    if offset != "auto":
+        raise ValueError("the offset must be 33, 64 or auto")
+    return F.when(least >= 64, "ambiguous_assumed_phred33").otherwise("sanger_phred33")
 
 
-def read_stats(reads: DataFrame, keys: Sequence[str] = (), *, order: str = "record_no", sample: int = 1_000_000, offset: str | int = "auto") -> DataFrame:
+def read_stats(reads: DataFrame, keys: Sequence[str] = (), *, order: str = "record_no", sample: int = 1_000_000, offset: str | int = 33) -> DataFrame:
     """Read metrics of (record_no, sequence, quality) by group.
 
-    Duplicates and over-represented sequences (strictly more than 1 % of the sample)
-    are those of the first ``sample`` reads by ``order``, compared as they are.
+    ``order`` is a read's number in its group, from 0. Duplicates and over-represented
+    sequences (strictly more than 1 % of the sample) are those of the first ``sample``
+    reads, compared as they are; long ones by their SHA-256, so no long text is a key.
     """
-    base = 33 if offset != 64 and offset != "64" else 64
+    base = 64 if str(offset) == "64" else 33
     at_least = lambda q: F.regexp_count("quality", F.lit(f"[\\x{base + q:02x}-\\x7e]"))
     codes = F.transform(F.split("quality", ""), lambda c: F.ascii(c))
     s = F.upper("sequence")
     r = reads.select(*keys, order, "sequence", F.length("sequence").cast("long").alias("len"), at_least(20).alias("q20"), at_least(30).alias("q30"), count_of(s, "GC").alias("gc"), count_of(s, "ACGT").alias("acgt"), F.when(F.length("quality") > 0, F.array_min(codes)).alias("low"))
     bases = F.coalesce(F.sum("len"), F.lit(0))
     least = F.min("low")
-    encoding = F.when(F.lit(base) == 64, "illumina_phred64").when(least >= 64, "ambiguous_assumed_phred33").otherwise("sanger_phred33")
-    checked = phred_offset(least, offset)
     stats = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("read_count"), bases.alias("total_bases"), F.coalesce(F.min("len"), F.lit(0)).alias("read_length_min"), F.coalesce(F.max("len"), F.lit(0)).alias("read_length_max"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("read_length_mean"),
-        percent(F.sum("q20"), bases).alias("q20_percent"), percent(F.sum("q30"), bases).alias("q30_percent"), percent(F.sum("gc"), F.sum("acgt")).alias("gc_percent"), F.when(checked.isNotNull(), encoding).alias("quality_encoding"),
+        percent(F.sum("q20"), bases).alias("q20_percent"), percent(F.sum("q30"), bases).alias("q30_percent"), percent(F.sum("gc"), F.sum("acgt")).alias("gc_percent"), quality_encoding(least, offset).alias("quality_encoding"),
     )
     n = nx(r, keys, "len", {"50": 0.5}).withColumnsRenamed({"n50": "read_length_n50", "l50": "read_length_l50"})
-    first = r.where(F.col(order) < sample) if order == "record_no" else r
+    key = F.when(F.length("sequence") <= 64, F.col("sequence")).otherwise(F.sha2("sequence", 256))
+    first = r.where(F.col(order) < sample).withColumn("sequence", key)
     same = first.groupBy(*keys, "sequence").agg(F.count(F.lit(1)).alias("k"))
     seen = same.groupBy(*keys).agg(F.sum("k").alias("sampled"), F.count(F.lit(1)).alias("kinds"), F.max("k").alias("most"))
     often = _joined(keys, same, seen.select(*keys, "sampled")).groupBy(*keys).agg(F.count_if(F.col("k") > F.col("sampled") * 0.01).alias("overrepresented_sequence_count"))

@@ -104,14 +104,12 @@ def longest_transcripts(features: DataFrame, dialect: str, *, measure: str = "CD
     transcripts = features.where(F.col("type").isin("mRNA", "transcript")).withColumn("__ref", ref).where("id IS NOT NULL AND __ref IS NOT NULL")
     size = F.col("end") - F.col("start") + 1
     cds = features.where(F.col("type") == "CDS")
-    if transcripts.isEmpty():
-        name = F.col("id") if dialect == "gff3" else F.coalesce("transcript_id", "id")
-        single = cds.withColumn("__ref", F.col("parent") if dialect == "gff3" else F.col("gene_id")).withColumn("__name", name).where("__ref IS NOT NULL AND __name IS NOT NULL")
-        best = heaviest_child(single, None, child="__name", group="__ref", weight=size).where("weight > 0").select("__ref", "__name")
-    elif measure == "CDS":
-        best = heaviest_child(transcripts, cds, child="id", group="__ref", weight=size).select("__ref", F.col("id").alias("__name"))
-    else:
-        best = heaviest_child(transcripts, None, child="id", group="__ref", weight=size).select("__ref", F.col("id").alias("__name"))
+    name = F.col("id") if dialect == "gff3" else F.coalesce("transcript_id", "id")
+    single = cds.withColumn("__ref", F.col("parent") if dialect == "gff3" else F.col("gene_id")).withColumn("__name", name).where("__ref IS NOT NULL AND __name IS NOT NULL")
+    # Only where there is no transcript at all do single CDS rows stand in; told when the rows are read.
+    some = transcripts.agg(F.count(F.lit(1)).alias("__n"))
+    single = heaviest_child(single, None, child="__name", group="__ref", weight=size).where("weight > 0").crossJoin(some).where("__n = 0").select("__ref", "__name")
+    best = heaviest_child(transcripts, cds if measure == "CDS" else None, child="id", group="__ref", weight=size).select("__ref", F.col("id").alias("__name")).unionByName(single)
     joined = best.join(genes, F.col("__ref") == F.col("__g"))
     flat = joined.select(*[F.col(f"g_{c}").alias(c) for c in ("seqid", "start", "end", "score", "strand")], "__name")
     return sorted_bed(flat.select(*bed_row(F.col("__name"))))

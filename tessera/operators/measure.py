@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import metric_value
 from tessera.operators import composition, features
+from tessera.operators.latest import wide
+from tessera.operators.rules import evaluate
 from tessera.sources import features as feature_source
 from tessera.sources import sequences
 
@@ -33,7 +35,7 @@ def long_metrics(stats: DataFrame, keys: Sequence[str], stage: str, names: Seque
     return out.where("metric_value IS NOT NULL")
 
 
-def measure(lines: DataFrame, file_format: str, *, role: str = "assembly", sample: int = 1_000_000, offset: str | int = "auto", lengths: DataFrame | None = None) -> DataFrame:
+def measure(lines: DataFrame, file_format: str, *, role: str = "assembly", sample: int = 1_000_000, offset: str | int = 33, lengths: DataFrame | None = None) -> DataFrame:
     """Metrics of all files of one format in one job: fasta, fastq, gff3 or protein."""
     if file_format == "fasta":
         stats = composition.assembly_stats(sequences.fasta_records(lines), ["path"])
@@ -48,6 +50,12 @@ def measure(lines: DataFrame, file_format: str, *, role: str = "assembly", sampl
     raise ValueError(f"unknown format {file_format}")
 
 
+def run(lines: DataFrame, file_format: str, profile: Mapping, names: Sequence[str], **kind) -> DataFrame:
+    """Measure all files of one format and judge each by a profile, in one plan: (path, metrics by name, decision, reason_codes)."""
+    found = wide(measure(lines, file_format, **kind), ["path"], "metric_name", "metric_value", names)
+    return evaluate(found, profile, {n: F.col(n) for n in names})
+
+
 def paired_counts(files: DataFrame, counts: DataFrame, *, entity: Sequence[str] = ("entity_type", "entity_id"), roles: tuple[str, str] = ("reads_1", "reads_2")) -> DataFrame:
     """(entity, paired_read_count_match): 1 if both mates' files have as many reads, for entities that have both."""
     n = files.where(F.col("file_role").isin(*roles)).join(counts.select("file_id", "records"), "file_id")

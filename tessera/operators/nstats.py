@@ -23,8 +23,8 @@ def nx(df: DataFrame, keys: Sequence[str], length: str, fractions: Mapping[str,
 
     N is the largest length such that records at least as long hold the fraction of
     all; L is how many records that takes. ``counts`` names a column with the number
-    of records of a length. Groups of total length 0 get 0 for both. Null lengths are
-    left out.
+    of records of a length. A group whose records are all empty has N 0 and L 1. Null
+    lengths are left out, and so are groups without others.
     """
     by = [df[k] for k in keys]
     h = df.where(F.col(length).isNotNull()).groupBy(*by, F.col(length).cast("long").alias("__len")).agg((F.sum(counts) if counts else F.count(F.lit(1))).cast("long").alias("__n"))
@@ -39,7 +39,7 @@ def nx(df: DataFrame, keys: Sequence[str], length: str, fractions: Mapping[str,
         missing = target - (F.col("__cum") - bases)
         rank = F.col("__before") + F.greatest(F.lit(1).cast("long"), F.ceil(missing / F.col("__len")))
         aggs.append(F.coalesce(F.max(F.when(enough, F.col("__len"))), F.lit(0).cast("long")).alias(f"n{name}"))
-        aggs.append(F.coalesce(F.min(F.when(enough, rank)), F.lit(0).cast("long")).alias(f"l{name}"))
+        aggs.append(F.coalesce(F.min(F.when(enough, rank)), F.lit(1).cast("long")).alias(f"l{name}"))
     return h.groupBy(*keys).agg(*aggs)
 
 

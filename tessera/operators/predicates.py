@@ -22,8 +22,8 @@ def overlaps(start: Column, end: Column, low: int | None = None, high: int | Non
 
 
 def in_lists(df: DataFrame, lists: Mapping[str, Sequence | None]) -> DataFrame:
-    """Keep rows whose columns are in the lists given; None sets no condition. The tests reach the scan."""
-    tests = [F.col(c).isin(*values) for c, values in lists.items() if values is not None]
+    """Keep rows whose columns are in the lists given; None and an empty list set no condition. The tests reach the scan."""
+    tests = [F.col(c).isin(*values) for c, values in lists.items() if values]
     return df.where(reduce(and_, tests)) if tests else df
 
 
@@ -40,7 +40,8 @@ def attribute_filter(dialect: str, key: str, value: str, *, regex: bool = False)
     """Test of a feature attribute.
 
     id, parent (not in GTF), gene_id and transcript_id, in any case, test the decoded
-    columns; other keys, case-sensitive, test the raw attribute text.
+    columns; other keys, case-sensitive, test the raw attribute text, of which a
+    pattern has to match the whole value.
     """
     decoded = ("gene_id", "transcript_id") if dialect == "gtf" else ("id", "parent", "gene_id", "transcript_id")
     if key.lower() in decoded:
@@ -48,11 +49,8 @@ def attribute_filter(dialect: str, key: str, value: str, *, regex: bool = False)
         return column.rlike(value) if regex else column == value
     body = value if regex else re.sub(r"([^\w])", r"\\\1", value)
     k = re.sub(r"([^\w])", r"\\\1", key)
-    if dialect == "gtf":
-        inner = f'[^"]*(?:{body})[^"]*' if regex else body
-        return F.col("attributes").rlike(f'(?:^|;)\\s*{k}\\s+"{inner}"')
-    inner = f"[^;]*(?:{body})" if regex else f"{body}\\s*(?:;|$)"
-    return F.col("attributes").rlike(f"(?:^|;)\\s*{k}={inner}")
+    value_is = f'\\s+"(?:{body})"' if dialect == "gtf" else f"\\s*=\\s*(?:{body})"
+    return F.col("attributes").rlike(f"(?:^|;)\\s*{k}{value_is}\\s*(?:;|$)")
 
 
 def filter_features(
@@ -109,7 +107,9 @@ def condition(rule: Mapping, fields: Mapping[str, Column] | None = None) -> Colu
     if operator == "exists":
         return F.when(value.isNotNull(), F.lit(True))
     if operator in ("in", "not_in"):
-        inside = reduce(or_, [compare(value, "==", v) for v in rule["values"]], F.lit(False))
+        # Membership is of texts: "1.0" isn't in [1].
+        wanted = [str(v) for v in rule.get("values", [])]
+        inside = value.cast("string").isin(*wanted) if wanted else F.lit(False)
         test = inside if operator == "in" else ~inside
         return F.when(value.isNotNull(), test)
     if operator == "between":

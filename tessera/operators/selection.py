@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tessera.operators.latest import latest_completed
 from tessera.operators.predicates import role_matches
 
+# Decisions that a release accepts.
+ACCEPTED = ("PASS", "PASS_WITH_WARNINGS", "ACCEPT_WITH_WARNING")
+
 
 def without(df: DataFrame, *gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is in none of the tables."""
@@ -42,13 +45,13 @@ def candidate_files(files: DataFrame, *, role: str, formats: Sequence[str], reti
     return active(files.where(role_matches(F.col("file_role"), role) & F.col("format").isin(*formats)), retired, superseded)
 
 
-def release_files(files: DataFrame, decisions: DataFrame, retired: DataFrame, superseded: DataFrame, accepted: Sequence[str] = ("PASS", "PASS_WITH_WARNINGS")) -> DataFrame:
+def release_files(files: DataFrame, decisions: DataFrame, retired: DataFrame, superseded: DataFrame, accepted: Sequence[str] = ACCEPTED) -> DataFrame:
     """Files of entities whose effective decision is accepted, still active."""
     good = decisions.where(F.coalesce("curated_decision", "decision").isin(*accepted)).select("entity_type", "entity_id")
     return active(files.join(good, ["entity_type", "entity_id"], "left_semi"), retired, superseded)
 
 
-def release_exclusions(decisions: DataFrame, retirements: DataFrame, accepted: Sequence[str] = ("PASS", "PASS_WITH_WARNINGS")) -> DataFrame:
+def release_exclusions(decisions: DataFrame, retirements: DataFrame, accepted: Sequence[str] = ACCEPTED) -> DataFrame:
     """(entity_type, entity_id, reason, detail): retired ones with their roots, else those whose decision isn't accepted."""
     keys = ["entity_type", "entity_id"]
     roots = retirements.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "root_type", "root_id"))), ";").alias("__roots"))
@@ -99,6 +102,18 @@ def ignored_jobs(jobs: DataFrame, key: str = "analysis_name") -> DataFrame:
     return jobs.where("status = 'completed'").agg((F.count(F.lit(1)) - F.count_distinct(key)).alias("ignored"))
 
 
+def region_order(subject: str = "subject_id") -> list[Column]:
+    """Order in which extracted regions are listed: sequence, start, end, subject; a missing subject counts as empty."""
+    return [F.col("seqid").asc(), F.col("start").cast("long").asc(), F.col("end").cast("long").asc(), F.coalesce(F.col(subject).cast("string"), F.lit("")).asc()]
+
+
+def sweep_stale(jobs: DataFrame, analysis: str, now: Column, *, name: str = "analysis_name", status: str = "status") -> DataFrame:
+    """All jobs, with those of one analysis that a killed run left RUNNING marked as interrupted: status, finished_at and error change, other rows stay."""
+    stale = F.coalesce((F.col(status) == "RUNNING") & (F.col(name) == analysis), F.lit(False))
+    new = {status: F.lit("interrupted"), "finished_at": now, "error": F.lit("swept at startup: previous run terminated abnormally")}
+    return jobs.select(*[F.when(stale, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
 def evidence(alignments: DataFrame, *, evalue_max: float | None = None, min_span: int | None = None, criteria: Sequence[Column] = ()) -> DataFrame:
     """Alignments within an e-value and of a least query span."""
     out = alignments if evalue_max is None else alignments.where(F.col("evalue") <= evalue_max)
@@ -136,7 +151,7 @@ def attention(sources: Mapping[str, DataFrame], order: Sequence[Column], *, limi
     w = Window.partitionBy("kind").orderBy(*order)
     out = both.withColumn("rank", F.row_number().over(w))
     out = out.where(F.col("rank") <= limit) if limit else out
-    return out.join(F.broadcast(totals), "kind")
+    return out.join(totals, "kind")
 
 
 def listed(df: DataFrame, keys: Sequence[str], item: Column, name: str, sep: str = ", ") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import features, records, select, text
+from tessera.plans import business, features, files, records, select, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (features, records, select, text):
+for _module in (features, records, select, text, files, business):
     QUERIES |= _module.Q
     ORACLES |= _module.S

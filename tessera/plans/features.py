@@ -24,11 +24,11 @@ def feature_stats_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q["feature_stats_top"] = feature_stats_top
 S["feature_stats_top"] = f"""SELECT seqid, count(*) AS n, min("start") AS min_start, max("end") AS max_end FROM {INTERVALS} WHERE type IN ('A','R') AND "end" >= 20 AND "start" <= 1500 GROUP BY seqid ORDER BY n DESC, seqid LIMIT 20"""
 
-Q["region_filter"] = lambda s, d: filter_features(intervals(s, d), types=["A"], sources=["F"], strands=["+"], seqids=[str(k) for k in range(1, 40)], start=30, end=800).select("seqid", "start", "end", "id")
-S["region_filter"] = f"""SELECT seqid, "start", "end", id FROM {INTERVALS} WHERE type = 'A' AND source = 'F' AND strand = '+' AND CAST(seqid AS INT) BETWEEN 1 AND 39 AND "end" >= 30 AND "start" <= 800"""
+Q["region_filter"] = lambda s, d: filter_features(intervals(s, d), types=["A"], sources=["F"], strands=["+"], seqids=[], start=30, end=800).select("seqid", "start", "end", "id")
+S["region_filter"] = f"""SELECT seqid, "start", "end", id FROM {INTERVALS} WHERE type = 'A' AND source = 'F' AND strand = '+' AND "end" >= 30 AND "start" <= 800"""
 
-Q["attribute_filters"] = lambda s, d: filter_features(intervals(s, d), attributes=[attribute_filter("gff3", "Flag", "R"), attribute_filter("gff3", "Line", "^[67]$".strip("^$"), regex=True), attribute_filter("gff3", "parent", "1")]).select("id", "type")
-S["attribute_filters"] = f"SELECT id, type FROM {INTERVALS} WHERE type = 'R' OR regexp_matches(attributes, '(^|;)Line=[^;]*[67]') OR parent = '1'"
+Q["attribute_filters"] = lambda s, d: filter_features(intervals(s, d), attributes=[attribute_filter("gff3", "Flag", "R"), attribute_filter("gff3", "Line", "[67]", regex=True), attribute_filter("gff3", "parent", "1")]).select("id", "type")
+S["attribute_filters"] = rf"SELECT id, type FROM {INTERVALS} WHERE type = 'R' OR regexp_matches(attributes, '(^|;)\s*Line\s*=\s*[67]\s*(;|$)') OR parent = '1'"
 
 for part in ("type", "source", "seqid"):
     Q[f"feature_stats_{part}"] = lambda s, d, p=part: fe.feature_stats(intervals(s, d))[p]
@@ -42,8 +42,8 @@ S["feature_bins"] = f"""SELECT seqid, CAST(floor(("start" - 1) / 50.0) AS BIGINT
 Q["feature_rows_first"] = lambda s, d: fe.feature_rows(intervals(s, d), limit=100).select("seqid", "type", "start", "end", "id")
 S["feature_rows_first"] = f'SELECT seqid, type, "start", "end", id FROM {INTERVALS} ORDER BY line_number LIMIT 100'
 
-Q["bed_rows"] = lambda s, d: fe.bed_rows(intervals(s, d), limit=200)
-S["bed_rows"] = f"""SELECT seqid AS chrom, "start" - 1 AS chrom_start, "end" AS chrom_end, id AS name, coalesce(score, 0.0) AS score, coalesce(strand, '.') AS strand FROM {INTERVALS} ORDER BY line_number LIMIT 200"""
+Q["bed_rows"] = lambda s, d: fe.bed_rows(intervals(s, d))
+S["bed_rows"] = f"""SELECT seqid AS chrom, "start" - 1 AS chrom_start, "end" AS chrom_end, id AS name, coalesce(score, 0.0) AS score, coalesce(strand, '.') AS strand FROM {INTERVALS}"""
 
 Q["structure_stats"] = lambda s, d: fe.structure_stats(intervals(s, d).withColumn("type", F.when(F.col("type") == "A", "CDS").when(F.col("type") == "N", "gene").otherwise("exon")), ["source"])
 S["structure_stats"] = f"""WITH f AS (SELECT *, CASE type WHEN 'A' THEN 'CDS' WHEN 'N' THEN 'gene' ELSE 'exon' END AS t FROM {INTERVALS})

@@ -27,8 +27,8 @@ Q["select_complement"] = lambda s, d: universe(s, d, True)
 _UNI = "SELECT c_custkey, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority), '') AS analyses, min(o_totalprice) AS best, count(o_orderkey) AS n_hits, (count(o_orderkey) > 0) <> {} AS selected FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice <= 30000 GROUP BY c_custkey"
 S["select_sequences"], S["select_complement"] = _UNI.format("false"), _UNI.format("true")
 
-Q["anti_universe"] = lambda s, d: se.without(read(s, d, "customer")[0].select("c_custkey", "c_name"), read(s, d, "orders")[0].select(F.col("o_custkey").alias("c_custkey")), keys=["c_custkey"])
-S["anti_universe"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+Q["anti_universe"] = lambda s, d: se.without(read(s, d, "customer")[0].select("c_custkey", "c_name"), read(s, d, "orders")[0].where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), keys=["c_custkey"])
+S["anti_universe"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
 
 
 def active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +76,12 @@ SELECT doc_id AS entity_id, CASE WHEN source = 'src3' THEN 'RETIRED' ELSE 'DECIS
 def stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust, orders, events = read(spark, sf_dir, "customer", "orders", "events")
     key = lambda c: [F.lit("user").alias("entity_type"), F.col(c).alias("entity_id")]
-    decided = orders.groupBy(*key("o_custkey")).agg(F.max(F.col("o_orderkey") * 3).alias("change_id"))
+    decided = orders.where("o_orderpriority = '1-URGENT'").groupBy(*key("o_custkey")).agg(F.max("o_orderkey").alias("change_id"))
     return se.not_evaluated(cust.select(*key("c_custkey")), decided, events.select(*key("user_id"), F.col("event_id").alias("change_id"))).select("entity_id", "status")
 
 
 Q["missing_or_stale"] = stale
-S["missing_or_stale"] = """WITH d AS (SELECT o_custkey, max(o_orderkey * 3) AS c FROM orders GROUP BY 1), e AS (SELECT user_id, max(event_id) AS l FROM events GROUP BY 1), x AS (SELECT c_custkey AS entity_id, CASE WHEN d.o_custkey IS NULL THEN 'MISSING' WHEN coalesce(l, 0) > coalesce(c, 0) THEN 'STALE' END AS status FROM customer LEFT JOIN d ON o_custkey = c_custkey LEFT JOIN e ON user_id = c_custkey) SELECT * FROM x WHERE status IS NOT NULL"""
+S["missing_or_stale"] = """WITH d AS (SELECT o_custkey, max(o_orderkey) AS c FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), e AS (SELECT user_id, max(event_id) AS l FROM events GROUP BY 1), x AS (SELECT c_custkey AS entity_id, CASE WHEN d.o_custkey IS NULL THEN 'MISSING' WHEN coalesce(l, 0) > coalesce(c, 0) THEN 'STALE' END AS status FROM customer LEFT JOIN d ON o_custkey = c_custkey LEFT JOIN e ON user_id = c_custkey) SELECT * FROM x WHERE status IS NOT NULL"""
 
 
 def either(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +166,8 @@ S["unordered_pairs"] = "SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greate
 Q["resolve_sequences"] = lambda s, d: se.resolve_sequences(read(s, d, "part")[0].select(F.col("p_partkey").alias("seqid")), read(s, d, "lineitem")[0].where("l_quantity < 3").select(F.col("l_partkey").alias("seqid"), F.col("l_suppkey").alias("file_id")))
 S["resolve_sequences"] = """SELECT p_partkey AS seqid, CASE WHEN count(l_suppkey) = 0 THEN 'MISSING' WHEN count(DISTINCT l_suppkey) > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS status, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS file_id FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity < 3 GROUP BY 1"""
 
-Q["list_files"] = lambda s, d: se.search(read(s, d, "part")[0], "Ab", ["p_name", "p_type"]).select("p_partkey", "p_name")
-S["list_files"] = "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ab') OR contains(lower(p_type), 'ab')"
+Q["list_files"] = lambda s, d: se.search(read(s, d, "part")[0], "GeT", ["p_name", "p_type"]).select("p_partkey", "p_name")
+S["list_files"] = "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'get') OR contains(lower(p_type), 'get')"
 
 Q["profile_uses"] = lambda s, d: se.uses(read(s, d, "customer")[0].select("c_custkey"), read(s, d, "orders")[0].select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 S["profile_uses"] = "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS uses FROM customer"

@@ -33,13 +33,13 @@ S["composition_pct"] = """WITH r AS (SELECT source, doc_id || ' ' || CASE WHEN d
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = read(spark, sf_dir, "documents")
-    seq = F.substring(F.translate("text", " \n", ""), 1, 60)
-    return docs.select(F.col("doc_id").alias("record_no"), seq.alias("sequence"), F.rpad(F.lit(""), 0, "").alias("q0"), F.substring(F.repeat(F.concat(F.lit("!5?I"), F.chr(F.col("doc_id") % 40 + 40)), 12), F.lit(1), F.length(seq)).alias("quality")).drop("q0")
+    seq = F.translate("text", " \n", "")
+    return docs.select(F.col("doc_id").alias("record_no"), seq.alias("sequence"), F.rpad(F.lit(""), 0, "").alias("q0"), F.substring(F.repeat(F.concat(F.lit("!5?I"), F.chr(F.col("doc_id") % 40 + 40)), F.ceil(F.length(seq) / 5).cast("int")), F.lit(1), F.length(seq)).alias("quality")).drop("q0")
 
 
-Q["read_stats"] = lambda s, d: co.read_stats(reads(s, d), sample=500)
-S["read_stats"] = """WITH r AS (SELECT doc_id, substr(replace(replace(text, ' ', ''), chr(10), ''), 1, 60) AS s FROM documents), q AS (SELECT *, substr(repeat('!5?I' || chr(CAST(doc_id % 40 + 40 AS INT)), 12), 1, length(s)) AS q, length(s) AS n, upper(s) AS u FROM r), w AS (SELECT n, sum(n) OVER o AS c, row_number() OVER o AS k, sum(n) OVER () AS t FROM q WINDOW o AS (ORDER BY n DESC ROWS UNBOUNDED PRECEDING)),
- f AS (SELECT s, count(*) AS k FROM q WHERE doc_id < 500 GROUP BY 1), g AS (SELECT CAST(sum(k) AS BIGINT) AS sampled, count(*) AS kinds FROM f)
+Q["read_stats"] = lambda s, d: co.read_stats(reads(s, d))
+S["read_stats"] = """WITH r AS (SELECT doc_id, replace(replace(text, ' ', ''), chr(10), '') AS s FROM documents), q AS (SELECT *, substr(repeat('!5?I' || chr(CAST(doc_id % 40 + 40 AS INT)), CAST(ceil(length(s) / 5.0) AS BIGINT)), 1, length(s)) AS q, length(s) AS n, upper(s) AS u FROM r), w AS (SELECT n, sum(n) OVER o AS c, row_number() OVER o AS k, sum(n) OVER () AS t FROM q WINDOW o AS (ORDER BY n DESC ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT s, count(*) AS k FROM q WHERE doc_id < 1000000 GROUP BY 1), g AS (SELECT CAST(sum(k) AS BIGINT) AS sampled, count(*) AS kinds FROM f)
 SELECT count(*) AS read_count, CAST(sum(n) AS BIGINT) AS total_bases, min(n) AS read_length_min, max(n) AS read_length_max, avg(n) AS read_length_mean, 100.0 * sum(len(regexp_extract_all(q, '[5-~]'))) / sum(n) AS q20_percent, 100.0 * sum(len(regexp_extract_all(q, '[?-~]'))) / sum(n) AS q30_percent,
  100.0 * sum(length(u) - length(translate(u, 'GC', ''))) / sum(length(u) - length(translate(u, 'ACGT', ''))) AS gc_percent, 'sanger_phred33' AS quality_encoding, (SELECT max(n) FILTER (c >= t * 0.5) FROM w) AS read_length_n50, (SELECT min(k) FILTER (c >= t * 0.5) FROM w) AS read_length_l50, (SELECT sampled FROM g) AS duplicate_sampled_read_count,
  (SELECT 100.0 * (sampled - kinds) / sampled FROM g) AS duplicate_percent, (SELECT count(*) FROM f, g WHERE k > sampled * CAST(0.01 AS DOUBLE)) AS overrepresented_sequence_count, count(*) > (SELECT sampled FROM g) AS duplicate_is_sampled, 'first_n' AS duplicate_sampling_strategy FROM q"""
@@ -50,16 +50,17 @@ SELECT lang, count(*) AS protein_count, count(doc_id) - count(DISTINCT doc_id) A
 
 
 def msa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (docs,) = read(spark, sf_dir, "documents")
-    return docs.where("n_chars >= 80").select("lang", F.col("doc_id").alias("record_no"), F.col("doc_id").cast("string").alias("seqid"), F.translate(F.substring("text", 1, 40), " \n,", "--.").alias("sequence"))
+    """Orders as an alignment by priority: status, month, price in fixed width; - and blanks are gaps."""
+    (orders,) = read(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderpriority").alias("lang"), F.col("o_orderkey").alias("record_no"), F.col("o_orderkey").cast("string").alias("seqid"), F.concat("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.floor("o_totalprice").cast("string"), 9, ".")).alias("sequence"))
 
 
 Q["residue_columns"] = lambda s, d: al.alignment_columns(msa(s, d), ["lang"])
-S["residue_columns"] = """WITH m AS (SELECT lang, doc_id, translate(substr(text, 1, 40), ' ' || chr(10) || ',', '--.') AS s FROM documents WHERE n_chars >= 80), c AS (SELECT lang, doc_id, p, substr(s, p, 1) AS r FROM m, range(1, 41) t(p)), n AS (SELECT lang, count(*) AS k FROM m GROUP BY 1), g AS (SELECT lang, p, r, count(*) AS n, min(doc_id) AS f FROM c WHERE r NOT IN ('-', '.', '') GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY n DESC, f) AS k FROM g),
- a AS (SELECT lang, p, sum(n) AS t, count(*) AS d, max(r) FILTER (k = 1) AS top, max(n) FILTER (k = 1) AS tn FROM b GROUP BY ALL) SELECT lang, p AS column_1based, coalesce(t, 0) / n.k AS occupancy, coalesce(d, 0) AS distinct_residues, coalesce(top, '-') AS consensus, coalesce(tn / t, 0.0) AS consensus_fraction FROM n CROSS JOIN range(1, 41) r(p) LEFT JOIN a USING (lang, p)"""
+S["residue_columns"] = """WITH m AS (SELECT o_orderpriority AS lang, o_orderkey AS doc_id, o_orderstatus || strftime(o_orderdate, '%Y-%m-%d') || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), 9, '.') AS s FROM orders), c AS (SELECT lang, doc_id, p, substr(s, p, 1) AS r FROM m, range(1, 21) t(p)), n AS (SELECT lang, count(*) AS k FROM m GROUP BY 1), g AS (SELECT lang, p, r, count(*) AS n, min(doc_id) AS f FROM c WHERE r NOT IN ('-', '.', '') GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY n DESC, f) AS k FROM g),
+ a AS (SELECT lang, p, sum(n) AS t, count(*) AS d, max(r) FILTER (k = 1) AS top, max(n) FILTER (k = 1) AS tn FROM b GROUP BY ALL) SELECT lang, p AS column_1based, coalesce(t, 0) / n.k AS occupancy, coalesce(d, 0) AS distinct_residues, coalesce(top, '-') AS consensus, coalesce(tn / t, 0.0) AS consensus_fraction FROM n CROSS JOIN range(1, 21) r(p) LEFT JOIN a USING (lang, p)"""
 
 Q["alignment_rows"] = lambda s, d: al.alignment_rows(msa(s, d), ["lang"])
-S["alignment_rows"] = """WITH m AS (SELECT lang, doc_id, translate(substr(text, 1, 40), ' ' || chr(10) || ',', '--.') AS s FROM documents WHERE n_chars >= 80) SELECT lang, doc_id AS record_no, CAST(doc_id AS VARCHAR) AS seqid, length(s) AS alignment_length, length(translate(s, '-.', '')) AS non_gap_sites, length(translate(s, '-.', '')) / length(s) AS coverage, 1 - length(translate(s, '-.', '')) / length(s) AS gap_fraction FROM m"""
+S["alignment_rows"] = """WITH m AS (SELECT o_orderpriority AS lang, o_orderkey AS doc_id, o_orderstatus || strftime(o_orderdate, '%Y-%m-%d') || lpad(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), 9, '.') AS s FROM orders) SELECT lang, doc_id AS record_no, CAST(doc_id AS VARCHAR) AS seqid, length(s) AS alignment_length, length(translate(s, '-.', '')) AS non_gap_sites, length(translate(s, '-.', '')) / length(s) AS coverage, 1 - length(translate(s, '-.', '')) / length(s) AS gap_fraction FROM m"""
 
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q["fastq_round_trip"] = fastq_round_trip
-S["fastq_round_trip"] = "SELECT doc_id AS record_no, 'r' || doc_id AS seqid, substr(replace(replace(text, ' ', ''), chr(10), ''), 1, 60) AS sequence, length(substr(replace(replace(text, ' ', ''), chr(10), ''), 1, 60)) AS n FROM documents"
+S["fastq_round_trip"] = "SELECT doc_id AS record_no, 'r' || doc_id AS seqid, replace(replace(text, ' ', ''), chr(10), '') AS sequence, length(replace(replace(text, ' ', ''), chr(10), '')) AS n FROM documents"
 
 Q["sequence_lengths"] = lambda s, d: co.sequence_lengths(records(s, d))
 S["sequence_lengths"] = "SELECT CAST(doc_id % 700 AS VARCHAR) AS seqid, CAST(sum(length(replace(replace(text, chr(10), ''), 'ß', ''))) AS BIGINT) AS length FROM documents GROUP BY 1"
@@ -101,14 +102,14 @@ S["sequence_lengths"] = "SELECT CAST(doc_id % 700 AS VARCHAR) AS seqid, CAST(sum
 Q["ilike_no_escape"] = lambda s, d: read(s, d, "part")[0].where(like(F.col("p_name"), "%A_E%") | like(F.col("p_name"), "%\\%")).select("p_partkey", "p_name")
 S["ilike_no_escape"] = "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%A_E%'"
 
-Q["tsv_cells"] = lambda s, d: read(s, d, "documents")[0].select("doc_id", cell(F.substring("text", 1, 50)).alias("c"), escape_formula(F.concat(F.lit("="), "lang")).alias("e"))
-S["tsv_cells"] = """WITH t AS (SELECT doc_id, lang, substr(text, 1, 50) AS s FROM documents), f AS (SELECT *, CASE WHEN regexp_matches(s, '^[=+\\-@\\t\\r]') THEN '''' || s ELSE s END AS v FROM t) SELECT doc_id, CASE WHEN regexp_matches(v, '[\\t\\n\\r"]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS c, '''=' || lang AS e FROM f"""
+Q["tsv_cells"] = lambda s, d: read(s, d, "documents")[0].select("doc_id", cell(F.col("text")).alias("c"), escape_formula(F.concat(F.lit("="), "lang")).alias("e"))
+S["tsv_cells"] = """WITH t AS (SELECT doc_id, lang, text AS s FROM documents), f AS (SELECT *, CASE WHEN regexp_matches(s, '^[=+\\-@\\t\\r]') THEN '''' || s ELSE s END AS v FROM t) SELECT doc_id, CASE WHEN regexp_matches(v, '[\\t\\n\\r"]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS c, '''=' || lang AS e FROM f"""
 
 Q["tsv_lines"] = lambda s, d: tsv_lines(read(s, d, "nation")[0], ["n_nationkey", "n_name", "n_regionkey"])
 S["tsv_lines"] = "SELECT n_nationkey || chr(9) || n_name || chr(9) || n_regionkey AS value FROM nation"
 
-Q["fasta_wrap"] = lambda s, d: read(s, d, "documents")[0].select("doc_id", wrap(F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z]", "")).alias("w"))
-S["fasta_wrap"] = "WITH t AS (SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^A-Za-z]', '', 'g') AS s FROM documents) SELECT doc_id, array_to_string([substr(s, k * 60 + 1, 60) FOR k IN range(0, greatest(1, CAST(ceil(length(s) / 60.0) AS BIGINT)))], chr(10)) AS w FROM t"
+Q["fasta_wrap"] = lambda s, d: read(s, d, "documents")[0].select("doc_id", wrap(F.regexp_replace("text", "[^A-Za-z]", "")).alias("w"))
+S["fasta_wrap"] = "WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS s FROM documents) SELECT doc_id, array_to_string([substr(s, k * 60 + 1, 60) FOR k IN range(0, greatest(1, CAST(ceil(length(s) / 60.0) AS BIGINT)))], chr(10)) AS w FROM t"
 
 Q["input_set_hash"] = lambda s, d: read(s, d, "events")[0].groupBy("user_id").agg(set_hash(F.collect_list("event_type")).alias("identity"))
 S["input_set_hash"] = "SELECT user_id, sha256(string_agg(event_type, chr(10) ORDER BY event_type)) AS identity FROM events GROUP BY 1"

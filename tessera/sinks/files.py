@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Mapping, Sequence
+from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import escape_formula, wrap
@@ -86,3 +89,40 @@ def write_alignment(rows: DataFrame, columns: DataFrame, summary: DataFrame, pat
 def template_header(names: list[str]) -> str:
     """Header line of an import template."""
     return "\t".join(names) + "\n"
+
+
+def workbook(sheets: Mapping[str, Sequence[Sequence]]) -> bytes:
+    """A workbook with the sheets given as rows of texts, the first of them the header; for templates and other small tables."""
+    part = lambda kind, n: f'<Override PartName="/xl/{n}" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.{kind}+xml"/>'
+    head, main = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def row(values: Sequence) -> str:
+        return "<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for v in values) + "</row>"
+
+    names = list(sheets)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = part("sheet.main", "workbook.xml") + "".join(part("worksheet", f"worksheets/sheet{k}.xml") for k in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{kinds}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1))
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="rId{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in range(1, len(names) + 1))
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        for k, n in enumerate(names, 1):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{"".join(map(row, sheets[n]))}</sheetData></worksheet>')
+    return held.getvalue()
+
+
+def table_template(columns: Sequence[tuple[str, str, bool]], examples: Sequence[Sequence] = ()) -> bytes:
+    """Import template as a workbook: a data sheet with the header and examples, and a schema sheet with each column's type and whether it is required."""
+    return workbook({"data": [[c for c, _, _ in columns], *examples], "schema": [("column", "type", "required"), *[(c, kind, "yes" if must else "no") for c, kind, must in columns]]})
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file, written where Spark's readers find it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(data))
+    stream.close()

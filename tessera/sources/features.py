@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,12 +18,17 @@ SCHEMA = T.StructType(
 )
 
 
-def attribute_map(text: Column, dialect: str = "gff3") -> Column:
-    """Map of an attribute column; of a repeated key the last value; ``.`` and empty texts give an empty map.
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
-    GFF3 ``key=value`` is percent-decoded. GTF ``key "value"`` is not; ``key=value`` is
-    taken there as well.
-    """
+
+def _decoded(value: Column) -> Column:
+    return F.when(F.instr(value, "%") > 0, percent_decode(value)).otherwise(value)
+
+
+def _pairs(text: Column, dialect: str) -> Column:
+    """Array of (k, v) of an attribute column, in order; keys are decoded, GFF3 values not yet."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.trim(p)), lambda p: (p != "") & (p != "."))
     eq = lambda p: F.instr(p, "=")
 
@@ -29,22 +36,38 @@ def attribute_map(text: Column, dialect: str = "gff3") -> Column:
         at = eq(p)
         plain = F.struct(F.trim(F.substring(p, F.lit(1), at - 1)).alias("k"), F.trim(F.substring(p, at + 1, F.length(p))).alias("v"))
         if dialect == "gff3":
-            return F.struct(percent_decode(plain["k"]).alias("k"), percent_decode(plain["v"]).alias("v"))
+            return F.struct(_decoded(plain["k"]).alias("k"), plain["v"].alias("v"))
         quoted = F.struct(F.regexp_extract(p, r'^(\S+)\s+"?([^"]*)"?$', 1).alias("k"), F.regexp_extract(p, r'^(\S+)\s+"?([^"]*)"?$', 2).alias("v"))
         spaced = p.rlike(r'^[^\s=]+\s')
         return F.struct(F.when(spaced, quoted["k"]).otherwise(plain["k"]).alias("k"), F.when(spaced, quoted["v"]).otherwise(F.trim(F.translate(plain["v"], '"', ""))).alias("v"))
 
     usable = F.filter(parts, lambda p: (eq(p) > 1) | p.rlike(r"^\S+\s")) if dialect == "gtf" else F.filter(parts, lambda p: eq(p) > 0)
-    pairs = F.transform(usable, pair)
+    return F.transform(usable, pair)
+
+
+def attribute_map(text: Column, dialect: str = "gff3") -> Column:
+    """Map of an attribute column; of a repeated key the last value; ``.`` and empty texts give an empty map.
+
+    GFF3 ``key=value`` is percent-decoded. GTF ``key "value"`` is not; ``key=value`` is
+    taken there as well.
+    """
+    value = _decoded if dialect == "gff3" else lambda v: v
     # map_from_entries rejects repeated keys, so only each key's last entry goes in.
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    last = lambda ps: F.filter(ps, lambda x, i: ~F.exists(F.slice(ps, i + 2, F.greatest(F.size(ps), F.lit(1))), lambda y: y["k"] == x["k"]))
+    return _bound(_pairs(text, dialect), lambda ps: F.map_from_entries(F.transform(last(ps), lambda x: F.struct(x["k"], value(x["v"])))))
+
+
+def attributes(text: Column, names: Sequence[str], dialect: str = "gff3") -> Column:
+    """Struct with the last value of each name (null: none, or empty), without a map of all others."""
+    value = _decoded if dialect == "gff3" else lambda v: v
+    pick = lambda ps, n: F.nullif(value(F.try_element_at(F.filter(ps, lambda p: p["k"] == n), F.lit(-1))["v"]), F.lit("")).alias(n)
+    return _bound(_pairs(text, dialect), lambda ps: F.struct(*[pick(ps, n) for n in names]))
 
 
 def feature_lines(lines: DataFrame) -> DataFrame:
     """Lines before the exact line ``##FASTA``, without comments and blank ones."""
     stop = lines.where("line = '##FASTA'").groupBy("path").agg(F.min("line_no").alias("__stop"))
-    kept = lines.join(F.broadcast(stop), "path", "left").where("__stop IS NULL OR line_no < __stop").drop("__stop")
+    kept = lines.join(stop, "path", "left").where("__stop IS NULL OR line_no < __stop").drop("__stop")
     return kept.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
 
 
@@ -55,7 +78,7 @@ def parse_features(lines: DataFrame, dialect: str = "gff3", *, strict: bool = Tr
     clean = lambda c: F.when(c.isin("", "."), None).otherwise(c)
     start, end = at(3).try_cast("long"), at(4).try_cast("long")
     bad = F.when(F.size(f) != 9, "not nine columns").when(start.isNull() | end.isNull(), "coordinates are no integers").when(start < 1, "start is below 1").when(end < start, "end is before start").when((at(5) != ".") & at(5).try_cast("double").isNull(), "score is no number")
-    names = attribute_map(at(8), dialect)
+    names = attributes(at(8), ("ID", "Parent", "gene_id", "transcript_id"), dialect)
     rows = feature_lines(lines)
     if strict:
         where = F.concat(bad, F.lit(" at "), F.col("path"), F.lit(":"), F.col("line_no").cast("string"))
@@ -63,7 +86,7 @@ def parse_features(lines: DataFrame, dialect: str = "gff3", *, strict: bool = Tr
     else:
         rows, kind = rows.where(F.size(f) == 9), clean(at(2))
     rows = rows.withColumn("__a", names)
-    value = lambda k: F.nullif(F.try_element_at("__a", F.lit(k)), F.lit(""))
+    value = lambda k: F.col("__a")[k]
     if dialect == "gff3":
         ident, parent, gene, transcript = value("ID"), value("Parent"), value("gene_id"), value("transcript_id")
     else:

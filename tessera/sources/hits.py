@@ -72,7 +72,7 @@ def _hmmer(lines: DataFrame, width: int, query_at: int, swap: bool | None) -> Da
     f = F.split(F.trim("line"), r"\s+", width + 1 if width == 22 else -1)
     rows = lines.where((F.trim("line") != "") & ~F.col("line").startswith("#")).withColumn("f", f).where(F.size("f") >= width)
     if swap is None:
-        rows = rows.join(F.broadcast(swaps(lines)), "path", "left").withColumn("swap", F.coalesce("swap", F.lit(False)))
+        rows = rows.join(swaps(lines), "path", "left").withColumn("swap", F.coalesce("swap", F.lit(False)))
     else:
         rows = rows.withColumn("swap", F.lit(swap))
     target, query = F.get("f", F.lit(0)), F.get("f", F.lit(query_at))
@@ -103,7 +103,7 @@ def domain_blocks(lines: DataFrame, *, most: int = 5) -> tuple[DataFrame, DataFr
     errors on reading. Rank is by arrival per (session, query).
     """
     stop = lines.where("line = 'ENDDATA'").groupBy("path").agg(F.min("line_no").alias("__stop"))
-    rows = lines.join(F.broadcast(stop), "path", "left").where("__stop IS NULL OR line_no < __stop").where((F.trim("line") != "") & ~F.col("line").startswith("#"))
+    rows = lines.join(stop, "path", "left").where("__stop IS NULL OR line_no < __stop").where((F.trim("line") != "") & ~F.col("line").startswith("#"))
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     f = F.split("line", "\t")
     is_query, is_session = F.col("line").startswith("QUERY\t"), F.col("line").startswith("SESSION")

@@ -1,23 +1,26 @@
 """Numbered lines of text files, plain or gzip-compressed.
 
-LF, CRLF and lone CR all end a line; a last line needs no end. Files are the unit of
-parallelism: line numbers and multi-line records need a file's lines together, and
-gzip can't be split anyway. A reader yields batches while it decompresses, so memory
-doesn't grow with the file.
+LF, CRLF and lone CR all end a line; a last line needs no end. Files are read line by
+line by the text source: plain ones in splits by many tasks, compressed ones, which
+can't be split, as a stream in one, so neither a file nor its text is ever one value.
+A line is at most 2 GB. A line's number is its place in its split plus the lines of the
+splits before; counting them reads the files a second time, without their texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line_no from 1, line) of each file."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    body = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
-    lines = texts.where("value <> ''").select("path", F.posexplode(F.split(body, "\n")).alias("n", "line"))
-    return lines.select("path", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    # Numbers of one task go up by one from line to line, and a split is read by one task.
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("block")) - F.col("lines")
+    splits = splits.select("path", "block", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def from_rows(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ def tsv(lines: DataFrame, columns: Sequence[str], required: Sequence[str] = ())
     body = lines.withColumn("line", F.regexp_replace("line", "^﻿", "")).where((F.trim("line") != "") & ~F.col("line").startswith("#"))
     first = body.groupBy("path").agg(F.min_by("line", "line_no").alias("h"), F.min("line_no").alias("h_no"))
     head = F.transform(F.split("h", "\t"), lambda c: F.trim(c))
-    rows = body.join(F.broadcast(first), "path").where("line_no > h_no").withColumn("h", head).withColumn("f", F.split("line", "\t"))
+    rows = body.join(first, "path").where("line_no > h_no").withColumn("h", head).withColumn("f", F.split("line", "\t"))
     n = F.size("h") - F.when(F.element_at("h", -1) == "", 1).otherwise(0)
     lacks = F.filter(F.array(*[F.lit(c) for c in required]), lambda c: ~F.array_contains("h", c)) if required else F.array().cast("array<string>")
     bad = F.when(F.size(lacks) > 0, F.concat(F.lit("missing columns: "), F.array_join(lacks, ","))).when((F.size("f") != F.size("h")) & (F.size("f") != n), "ragged row")

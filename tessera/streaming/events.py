@@ -22,6 +22,13 @@ def follow(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
+def run_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there into Parquet files, each row once however often this is called, and return them as a table."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Process what is there and return it as a table."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

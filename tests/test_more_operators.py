@@ -73,7 +73,8 @@ def test_deep_tree(spark):
     text = "(a,b)"
     for i in range(105):
         text = f"({text},x{i})"
-    tree = tt.edges(spark, f"{text}root;").localCheckpoint()
+    tree = tt.edges(spark, f"{text}root;")
+    tree = spark.createDataFrame(tree.collect(), tree.schema)
     label = {r["label"]: r["node"] for r in tree.where("label <> ''").collect()}
     got = tt.clades(tree.where("label IN ('', 'root', 'a', 'x104')"), spark.createDataFrame([("a", "x104")], "a string, b string"))
     assert [r["mrca"] for r in got.collect()] == [label["root"]]

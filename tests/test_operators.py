@@ -12,7 +12,7 @@ from tessera.operators import latest as la
 from tessera.operators import nstats
 from tessera.operators import rules as ru
 from tessera.operators import selection as se
-from tessera.operators.predicates import attribute_filter, compare, holds, parse_attribute_filter, subject_matches
+from tessera.operators.predicates import attribute_filter, compare, holds, in_lists, page, parse_attribute_filter, subject_matches
 
 
 def one(spark, column):
@@ -38,7 +38,14 @@ def test_attribute_filters(spark):
     assert df.where(attribute_filter("gff3", "Dbxref", "a.b")).count() == 1 and df.where(attribute_filter("gff3", "Dbxref", "a.b", regex=True)).count() == 2
     assert df.where(attribute_filter("gff3", "iD", "x")).count() == 1 and df.where(attribute_filter("gtf", "GENE_ID", "g")).count() == 1
     gtf = spark.createDataFrame([('gene_id "A"; note "p q"',)], "attributes string")
-    assert gtf.where(attribute_filter("gtf", "note", "p q")).count() == 1 and gtf.where(attribute_filter("gtf", "note", "q$".rstrip("$"), regex=True)).count() == 1
+    assert gtf.where(attribute_filter("gtf", "note", "p q")).count() == 1
+    assert gtf.where(attribute_filter("gtf", "note", "q", regex=True)).count() == 0 and gtf.where(attribute_filter("gtf", "note", "p.q|x", regex=True)).count() == 1
+    lines = spark.createDataFrame([("Line=16",), ("Line = 6 ;x=1",), ("a=1; Line=7",), ("Line=76",), ("XLine=6",)], "attributes string")
+    assert [r[0] for r in lines.where(attribute_filter("gff3", "Line", "[67]", regex=True)).collect()] == ["Line = 6 ;x=1", "a=1; Line=7"]
+    assert lines.where(attribute_filter("gff3", "Line", "6")).count() == 1
+    for value, values, inside in (("1.0", [1], False), ("1", [1], True), ("x", [], False)):
+        assert one(spark, holds({"field": "f", "operator": "in", "values": values}, {"f": F.lit(value)})) is inside and one(spark, holds({"field": "f", "operator": "not_in", "values": values}, {"f": F.lit(value)})) is not inside
+    assert in_lists(lines, {"attributes": []}).count() == 5 and in_lists(lines, {"attributes": ["XLine=6"]}).count() == 1
     assert one(spark, subject_matches(F.lit("cd1"), F.lit('{"short_name":"bHLH"}'), "%hlh")) is True and one(spark, subject_matches(F.lit(None).cast("string"), F.lit("bad"), "x")) is False
 
 
@@ -63,7 +70,7 @@ def test_scalars(spark):
 def test_n_statistics(spark):
     df = spark.createDataFrame([("a", 6000), ("a", 5000), ("a", 4000), ("a", 3000), ("a", 2000), ("z", 0), ("n", None)], "g string, len long")
     got = {r["g"]: (r["n50"], r["l50"]) for r in nstats.nx(df, ["g"], "len", {"50": 0.5}).collect()}
-    assert got == {"a": (5000, 2), "z": (0, 0)}
+    assert got == {"a": (5000, 2), "z": (0, 1)}
     assert nstats.nx(spark.createDataFrame([("a", 10, 7), ("a", 3, 1)], "g string, len long, n long"), ["g"], "len", {"50": 0.5}, counts="n").first()["l50"] == 4
 
 
@@ -157,3 +164,34 @@ def test_selections(spark):
     assert sorted(r["source_id"] for r in se.active_sources(src, links, live, "source_id").collect()) == [1, 3]
     acc = spark.createDataFrame([("GCF_1.1",), ("GCF_1.2",), ("GCF_10.1",)], "a string")
     assert se.accession_matches(acc, "a", "GCF_1").count() == 2 and se.accession_matches(acc, "a", "GCF_1.2").count() == 1
+
+
+def test_releases_accept_warnings(spark):
+    keys = "entity_type string, entity_id long"
+    files = spark.createDataFrame([("s", k, f"f{k}") for k in range(1, 5)], f"{keys}, file_id string")
+    decisions = spark.createDataFrame([("s", 1, "FAIL", "ACCEPT_WITH_WARNING"), ("s", 2, "PASS", None), ("s", 3, "FAIL", None), ("s", 4, "PASS_WITH_WARNINGS", "EXCLUDED")], f"{keys}, decision string, curated_decision string")
+    none, gone = spark.createDataFrame([], keys), spark.createDataFrame([], f"{keys}, root_type string, root_id long")
+    assert sorted(r["file_id"] for r in se.release_files(files, decisions, none, none).collect()) == ["f1", "f2"]
+    assert sorted(r["entity_id"] for r in se.release_exclusions(decisions, gone).collect()) == [3, 4]
+
+
+def test_stale_jobs_and_region_order(spark):
+    jobs = spark.createDataFrame([(1, "a", "RUNNING", None, None), (2, "b", "RUNNING", None, None), (3, "a", "completed", "t0", None), (4, None, "RUNNING", None, None)], "job_id long, analysis_name string, status string, finished_at string, error string")
+    got = {r["job_id"]: (r["status"], r["finished_at"], r["error"] is None) for r in se.sweep_stale(jobs, "a", F.lit("now")).collect()}
+    assert got == {1: ("interrupted", "now", False), 2: ("RUNNING", None, True), 3: ("completed", "t0", True), 4: ("RUNNING", None, True)}
+    rows = spark.createDataFrame([("c2", "5", "9", "x"), ("c1", "10", "20", "b"), ("c1", "9", "20", "b"), ("c1", "10", "20", None), ("c1", "10", "3", "z")], "seqid string, start string, end string, subject_id string")
+    assert [tuple(r)[1:] for r in page(rows, se.region_order()).collect()] == [("9", "20", "b"), ("10", "3", "z"), ("10", "20", None), ("10", "20", "b"), ("5", "9", "x")]
+
+
+def test_read_only_sql_is_read_only(spark):
+    from tessera import catalog
+
+    catalog.register(spark, {"t_read": spark.range(3)})
+    assert catalog.query(spark, "WITH x AS (SELECT id FROM t_read WHERE id IN (SELECT max(id) FROM t_read)) SELECT count(*) AS n, 'java_method' AS s FROM x").first()["n"] == 1
+    bad = [
+        "SELECT java_method('java.lang.System', 'setProperty', 'probe', 'x')", "SELECT * FROM t_read WHERE id = (SELECT reflect('java.lang.Math', 'abs', 1))", "WITH x AS (SELECT try_reflect('java.lang.Math', 'abs', 1) AS v) SELECT * FROM x",
+        "SELECT * FROM parquet.`/tmp/x`", "SELECT id FROM t_read JOIN CSV.`/etc/passwd` ON true", "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM t_read", "DROP VIEW t_read", "CREATE TABLE zz AS SELECT 1", "INSERT INTO t_read SELECT 1", "SET a=b",
+    ]
+    for text in bad:
+        with pytest.raises(catalog.NotAQuery):
+            catalog.query(spark, text)

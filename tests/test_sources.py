@@ -219,3 +219,57 @@ def test_metadata(spark):
     assert [tuple(r) for r in got] == [("ORG_001", None, "2024-01-02T03:04:00", None, ["day: invalid", "n: invalid"]), ("ORG_002", "2024-02-29", "2024-01-02T03:04:05+02:00", 10, []), (None, None, None, 0, ["id: missing", "n: invalid"])]
     with pytest.raises(ValueError, match="unknown columns"):
         md.validate(spark.range(1).select(F.lit("x").alias("other")), c)
+
+
+def test_lines_over_splits(spark, tmp_path):
+    """Files of several splits, with every kind of line end, against Python's own splitting."""
+    import gzip
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = {}
+    for k in range(3):
+        text = "".join("x" * rng.choice([0, 1, 5, 200]) + str(n) + rng.choice(["\n", "\r\n", "\r", "\n\n"]) for n in range(900)) + ("" if k else "last")
+        (tmp_path / f"f{k}.txt").write_bytes(text.encode())
+        texts[f"f{k}.txt"] = text
+    with gzip.open(tmp_path / "g.txt.gz", "wb") as f:
+        f.write(texts["f0.txt"].encode())
+    texts["g.txt.gz"] = texts["f0.txt"]
+    (tmp_path / "empty.txt").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9k")
+    try:
+        got = [(r["path"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in lines.numbered_lines(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(name, n, line) for name, text in texts.items() for n, line in enumerate(re.split("\r\n|\r|\n", re.sub("(\r\n|\r|\n)$", "", text)), 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_records_over_parts_and_bad_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sequences, "PART", 3)
+    text = "".join(f">r{k} d\n" + "AC\n" * (k % 5) for k in range(40))
+    numbered = lines.from_rows(spark.createDataFrame([("a", text), ("b", ">x\nGG")], "path string, text string"))
+    got = [(r["path"], r["record_no"], r["seqid"], r["sequence"]) for r in sequences.fasta_records(numbered).orderBy("path", "record_no").collect()]
+    assert got == [*[("a", k, f"r{k}", "AC" * (k % 5)) for k in range(40)], ("b", 0, "x", "GG")]
+    (tmp_path / "bad.fa").write_bytes(b">caf\xe9\nAC\n")
+    (tmp_path / "bad.fq").write_bytes(b"@caf\xe9\nA\n+\nI\n")
+    with pytest.raises(Exception, match="not UTF-8"):
+        sequences.fasta_records(lines.numbered_lines(spark, str(tmp_path / "bad.fa"))).collect()
+    with pytest.raises(Exception, match="not UTF-8"):
+        sequences.fastq_records(lines.numbered_lines(spark, str(tmp_path / "bad.fq"))).collect()
+
+
+def test_quality_offsets(spark):
+    reads = spark.createDataFrame([(0, "AC", "hh"), (1, "AC", "hi")], "record_no long, sequence string, quality string")
+    name = lambda **kind: co.read_stats(reads, **kind).first()["quality_encoding"]
+    assert name() == name(offset="33") == "sanger_phred33" and name(offset="auto") == "ambiguous_assumed_phred33" and name(offset=64) == "illumina_phred64"
+    with pytest.raises(ValueError, match="offset"):
+        name(offset="nonsense")
+    with pytest.raises(Exception, match="below the offset"):
+        co.read_stats(spark.createDataFrame([(0, "A", "5")], reads.schema), offset=64).collect()
+    numbered = reads.withColumnRenamed("record_no", "n")
+    assert co.read_stats(numbered, order="n", sample=1).first()["duplicate_sampled_read_count"] == 1
+    empty = spark.createDataFrame([(0, "", "")], reads.schema)
+    assert co.read_stats(empty).select("read_length_n50", "read_length_l50").first()[:] == (0, 1)
