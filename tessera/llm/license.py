@@ -53,6 +53,63 @@ TEMPLATES = (
     ("cc-by", "cc by <<opt>>version<<end>> 4 0"),
     ("cc-by", "cc by <<opt>>version<<end>> 3 0"),
     ("cc0", "cc0 1 0 <<opt>>universal<<end>>"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "<<var:0-2>> the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in all copies "
+        "or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not "
+        "limited to the warranties of merchantability fitness for a particular purpose and <<opt>>non infringement<<end>> <<opt>>noninfringement<<end>> in no event shall the "
+        "<<var:1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and <<var:1-6>> disclaims all warranties with "
+        "regard to this software including all implied warranties of merchantability and fitness in no event shall <<var:1-6>> be liable for any special "
+        "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd-2",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<var:0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<var:0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+        "the documentation and or other materials provided with the distribution <<opt>>and<<end>> this software is provided by <<var:1-12>> as is and any express or implied warranties",
+    ),
+    (
+        "bsd-3",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "<<var:0-1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "<<var:0-1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+        "the documentation and or other materials provided with the distribution <<var:0-1>> neither the name <<opt>>s<<end>> of <<var:1-12>> nor the "
+        "names of <<opt>>its<<end>> <<opt>>the<<end>> contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy "
+        "of the license at <<var:1-10>> unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+        "on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing "
+        "permissions and limitations under the license",
+    ),
+    (
+        "gpl-3",
+        "<<opt>>this program is<<end>> free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 3 of the license or <<opt>>at your option<<end>> any later version",
+    ),
+    (
+        "gpl-2",
+        "<<opt>>this program is<<end>> free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 2 of the license or <<opt>>at your option<<end>> any later version",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from "
+        "the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+        "and redistribute it freely subject to the following restrictions",
+    ),
     ("unlicense", "free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
 )
@@ -189,9 +246,11 @@ class Scanner:
         joined = b" " + b" ".join(tokens) + b" "
         places, found, score = [], set(), 0.0
         for label, phrase in self.base:
-            at = joined.find(phrase)
+            at, before, counted = joined.find(phrase), 0, 0
             while at >= 0:
-                places.append(joined.count(b" ", 0, at + 1) - 1)
+                # Words are counted on from the place before, not from the start.
+                before, counted = before + joined.count(b" ", counted, at + 1), at + 1
+                places.append(before - 1)
                 found.add(label)
                 score = max(score, self.floor[label])
                 at = joined.find(phrase, at + 1)

@@ -45,6 +45,26 @@ def test_licenses(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_whole_licenses_with_replaced_and_left_out_parts(spark):
+    from tessera.llm.license import confidence
+
+    mit = next(t for label, t in TEMPLATES if label == "mit" and "dealings" in t)
+    full = mit.replace("<<var:0-2>>", "").replace("<<opt>>including the next paragraph<<end>>", "(including the next paragraph)").replace("<<opt>>non infringement<<end>>", "").replace("<<opt>>noninfringement<<end>>", "NONINFRINGEMENT.")
+    one, other = full.replace("<<var:1-12>>", "AUTHORS OR COPYRIGHT HOLDERS"), full.replace("<<var:1-12>>", "Example Foundation, Inc. and its contributors")
+    rows = [(1, one), (2, other.upper()), (3, one.replace("particular purpose", "purpose")), (4, one.replace("AUTHORS", " ".join("abcdefghijklm"))), (5, one.replace(" ", "\n * "))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == ("mit", confidence(mit)) for k in (1, 2, 5)) and all(got[k][0] == "mit" and got[k][1] < confidence(mit) for k in (3, 4))
+
+
+def test_many_places_and_long_texts(spark):
+    import time
+
+    text = "under the MIT license, or so; " * 40_000
+    began = time.time()
+    got = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (240_000, 40_000, 0, 6 * 39_999) and time.time() - began < 60
+
+
 def test_license_words_apart_and_own_templates(spark):
     isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby\r\n# granted, provided that the above copyright notice"
     rows = [(1, "All rights\r\nreserved"), (2, "# All rights\n# reserved"), (3, isc), (4, "free and unencumbered software released into the public\r\n domain"), (5, "use it as you like"), (6, "nothing of the kind")]
