@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import WORD, stored
 
-#: A source's key range is cut into so many parts, so that no source is sorted in one task.
-PARTS = 512
+#: A source's key range is cut into at least so many parts, and more for more rows, so that no source is sorted in one task.
+PARTS, PART_ROWS = 512, 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -59,19 +59,20 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float =
     ``quality`` is a positive weight (null or not positive: 1); by default the
     share of letters among a text's characters, at least 0.05. Draws depend on
     ``seed`` and doc_id only, so reruns agree; ties go to the smaller doc_id, then
-    the smaller size. Null doc_ids draw as the empty string, a null source is a
+    the smaller size. Null doc_ids draw by their text, a null source is a
     source of its own, empty texts take nothing, other columns are not read, and
     an empty table gives an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     if quality is None:
         quality = F.greatest(F.lit(0.05), F.length(F.regexp_replace(text, "[^A-Za-z]+", "")) / F.greatest(F.lit(1), F.length(text)))
-    draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    draw = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text|"), F.md5(text.cast("binary")))))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     weight = F.when(quality > 0, quality.cast("double")).otherwise(F.lit(1.0))
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-F.log(draw) / weight).alias("key")), "mix-rows")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     # exp(-key) is in (0, 1), and monotone: its parts are ranges of the key.
-    part = F.least(F.lit(PARTS - 1), F.floor((1 - F.exp(-F.col("key"))) * PARTS)).cast("int")
+    parts = max(PARTS, rows.count() // PART_ROWS)
+    part = F.least(F.lit(parts - 1), F.floor((1 - F.exp(-F.col("key"))) * parts)).cast("int")
     rows = rows.withColumn("part", part)
     before = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     before = before.select("source", "part", (F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words")).alias("before"))

@@ -44,7 +44,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         -ln((CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+         -ln((CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'text|' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
          / greatest(0.05, CAST(length(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) AS DOUBLE) / greatest(1, length(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
