@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.nstats import upper_median
@@ -14,9 +14,15 @@ _GAPS = "-."
 
 def check_equal(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The records, or an error on reading them if a group's lengths differ."""
-    w = Window.partitionBy(*keys)
-    unequal = F.min(F.length("sequence")).over(w) != F.max(F.length("sequence")).over(w)
-    return records.withColumn("sequence", F.when(unequal, F.raise_error(F.lit("unequal lengths")).cast("string")).otherwise(F.col("sequence")))
+    n = F.length("sequence")
+    names = {c: f"__{c}" for c in keys}
+    sizes = records.groupBy(*keys).agg((F.min(n) != F.max(n)).alias("__unequal")).withColumnsRenamed(names)
+    test = F.lit(True)
+    for c in keys:
+        test &= F.col(c).eqNullSafe(F.col(names[c]))
+    both = records.join(sizes, test)
+    checked = F.when(F.col("__unequal"), F.raise_error(F.lit("unequal lengths")).cast("string"))
+    return both.withColumn("sequence", checked.otherwise(F.col("sequence"))).select(*records.columns)
 
 
 def alignment_rows(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
