@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import is_false
 from tessera.operators import alignment as al
 from tessera.operators import measure as me
+from tessera.operators import reads as rd
 from tessera.operators.predicates import filter_features, page
 from tessera.operators.selection import region_order
 from tessera.plans.tables import INTERVALS, intervals, read
 from tessera.sinks import files as out
+from tessera.sources import alignments as aln
 from tessera.sources import events as ev
 from tessera.sources import features as fs
 from tessera.sources import hits, lines, reports, sequences, tables, taxonomy
@@ -310,3 +312,27 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["stream_once"] = stream_once
 S["stream_once"] = "SELECT event_id, user_id, event_type FROM events"
+
+
+def bam_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations, which are few, as the reads of a BAM file."""
+    rows = [{"qname": r["n_name"], "flag": 99 if r["n_nationkey"] % 2 else 4, "rname": None if r["n_nationkey"] % 2 == 0 else f"r{r['n_regionkey']}", "pos": 10 * r["n_nationkey"], "mapq": r["n_nationkey"], "cigar": "5S10M2D3M" if r["n_nationkey"] % 2 else "*", "mate": f"r{r['n_regionkey']}", "tlen": -r["n_nationkey"], "seq": "ACGTNACGTACGTACGTA", "nm": r["n_nationkey"] if r["n_nationkey"] % 3 else None} for r in read(spark, sf_dir, "nation")[0].orderBy("n_nationkey").collect()]
+    path = place(spark, "reads") + ".bam"
+    out.write_bytes(spark, path, aln.encode({f"r{k}": 1000 for k in range(5)}, rows))
+    return aln.bam(spark, path).drop("path")
+
+
+Q["bam_reads"] = bam_reads
+S["bam_reads"] = """SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS record_no, n_name AS qname, CASE n_nationkey % 2 WHEN 1 THEN 99 ELSE 4 END AS flag, CASE n_nationkey % 2 WHEN 1 THEN 'r' || n_regionkey END AS rname, 10 * n_nationkey AS pos, n_nationkey AS mapq, CASE n_nationkey % 2 WHEN 1 THEN '5S10M2D3M' ELSE '*' END AS cigar, 'r' || n_regionkey AS mate, -n_nationkey AS tlen, 'ACGTNACGTACGTACGTA' AS seq, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END AS nm FROM nation"""
+
+
+def sam_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as SAM text, their flags from the line number, measured."""
+    (li,) = read(spark, sf_dir, "lineitem")
+    line = F.concat_ws("\t", text("q", _item("l_orderkey")), F.when(F.col("l_linenumber") == 1, "4").when(F.col("l_linenumber") == 2, "1024").when(F.col("l_linenumber") == 3, "256").otherwise("16"), text("s", _item("l_suppkey")), (F.col("l_partkey") + 1).cast("string"), (F.col("l_quantity").cast("int") % 61).cast("string"), F.lit("2S8M"), F.lit("="), F.lit("0"), F.lit("0"), F.lit("ACGTACGTAC"), F.lit("*"), F.lit("XX:Z:t"), text("NM:i:", _item("l_linenumber")))
+    rows = li.select(F.lit("f").alias("path"), _line().alias("line_no"), line.alias("line")).unionByName(spark.createDataFrame([("f", -1, "@HD\tVN:1.6")], "path string, line_no long, line string"))
+    return rd.read_metrics(aln.sam(rows)).select("alignment_count", "mapped_count", "primary_mapped_count", "duplicate_count", "secondary_count", "mapq_ge30_count", "aligned_query_bases", "soft_clipped_bases", F.round("mapped_percent", 6).alias("mapped_percent"))
+
+
+Q["sam_metrics"] = sam_metrics
+S["sam_metrics"] = """SELECT count(*) AS alignment_count, count(*) FILTER (l_linenumber <> 1) AS mapped_count, count(*) FILTER (l_linenumber NOT IN (1, 3)) AS primary_mapped_count, count(*) FILTER (l_linenumber = 2) AS duplicate_count, count(*) FILTER (l_linenumber = 3) AS secondary_count, count(*) FILTER (l_linenumber NOT IN (1, 3) AND CAST(l_quantity AS INT) % 61 >= 30) AS mapq_ge30_count, 8 * count(*) FILTER (l_linenumber <> 1) AS aligned_query_bases, 2 * count(*) FILTER (l_linenumber <> 1) AS soft_clipped_bases, round(100.0 * count(*) FILTER (l_linenumber <> 1) / count(*), 6) AS mapped_percent FROM lineitem"""

@@ -273,3 +273,35 @@ def test_quality_offsets(spark):
     assert co.read_stats(numbered, order="n", sample=1).first()["duplicate_sampled_read_count"] == 1
     empty = spark.createDataFrame([(0, "", "")], reads.schema)
     assert co.read_stats(empty).select("read_length_n50", "read_length_l50").first()[:] == (0, 1)
+
+
+def test_bam_and_sam(spark, tmp_path):
+    from tessera.sources import alignments as aln
+
+    rows = [{"qname": f"q{k}", "flag": k, "rname": "c1" if k % 2 else None, "pos": k - 1, "mapq": 7, "cigar": "3M" if k % 3 else "*", "mate": "c2", "tlen": -k, "seq": "ACG"[: k % 4] or "*", "nm": k or None} for k in range(30)]
+    data = aln.encode({"c1": 100, "c2": 50}, rows)
+    (tmp_path / "a.bam").write_bytes(data)
+    got = [{k: v for k, v in r.asDict().items() if k not in ("path", "record_no")} for r in aln.bam(spark, str(tmp_path / "a.bam")).orderBy("record_no").collect()]
+    assert got == rows
+    for bad in (data[:-60], b"no", aln.encode({}, [])[:20]):
+        with pytest.raises(ValueError, match="there|here"):
+            list(aln.decode(bad, "there"))
+    line = lambda r: "\t".join([r["qname"], str(r["flag"]), r["rname"] or "*", str(r["pos"] + 1), "7", r["cigar"], "c2", "0", str(r["tlen"]), r["seq"], "*"] + ([f"NM:i:{r['nm']}"] if r["nm"] else []))
+    text = "@HD\tx\n" + "\n".join(map(line, rows))
+    numbered = lines.from_rows(spark.createDataFrame([("a", text)], "path string, text string"))
+    assert [{k: v for k, v in r.asDict().items() if k not in ("path", "record_no")} for r in aln.sam(numbered).orderBy("record_no").collect()] == rows
+    with pytest.raises(Exception, match="no alignment at a:1"):
+        aln.sam(lines.from_rows(spark.createDataFrame([("a", "q\t1")], "path string, text string"))).collect()
+
+
+def test_templates_and_workbooks(spark, tmp_path):
+    (tmp_path / "t.xlsx").write_bytes(out.table_template([("id", "text", True), ("n & m", "number", False)], [("a<b", 1), (None, "x")]))
+    assert [tuple(r) for r in tables.xlsx(spark, str(tmp_path / "t.xlsx")).collect()] == [("a<b", "1"), ("", "x")]
+
+
+def test_stream_to_files(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        rows = st.run_to(stream, str(tmp_path / "rows"), str(tmp_path / "state"))
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a"), (2, "b")]
