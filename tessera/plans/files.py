@@ -336,3 +336,14 @@ def sam_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["sam_metrics"] = sam_metrics
 S["sam_metrics"] = """SELECT count(*) AS alignment_count, count(*) FILTER (l_linenumber <> 1) AS mapped_count, count(*) FILTER (l_linenumber NOT IN (1, 3)) AS primary_mapped_count, count(*) FILTER (l_linenumber = 2) AS duplicate_count, count(*) FILTER (l_linenumber = 3) AS secondary_count, count(*) FILTER (l_linenumber NOT IN (1, 3) AND CAST(l_quantity AS INT) % 61 >= 30) AS mapq_ge30_count, 8 * count(*) FILTER (l_linenumber <> 1) AS aligned_query_bases, 2 * count(*) FILTER (l_linenumber <> 1) AS soft_clipped_bases, round(100.0 * count(*) FILTER (l_linenumber <> 1) / count(*), 6) AS mapped_percent FROM lineitem"""
+
+
+def followed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log's files, followed as a stream."""
+    path = place(spark, "log")
+    read(spark, sf_dir, "events")[0].select(text(_item("event_id"), " ", F.col("event_type"))).write.text(f"{path}/log")
+    return st.run_to(st.follow(spark, f"{path}/log"), f"{path}/rows", f"{path}/state")
+
+
+Q["followed_log"] = followed_log
+S["followed_log"] = "SELECT event_id || ' ' || event_type AS value FROM events"
