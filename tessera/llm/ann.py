@@ -28,7 +28,7 @@ from tessera.llm.common import stored
 
 CENTRES = 16
 #: Rows of a block; components of the queries of a block.
-ROWS, QUERY_NUMBERS = 8192, 1 << 18
+ROWS, QUERY_NUMBERS = 2048, 1 << 18
 
 
 @dataclass(frozen=True)
