@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.sampling import held_out, labelled_sample
+from tessera.llm.sampling import held_out, sample_rows, warn_of_missing
 from tessera.llm.subword import features, pieces
 
 
@@ -91,10 +91,27 @@ def train(texts: Sequence[str], labels: Sequence[int], *, sizes: tuple[int, ...]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", modulus: int = 4, remainder: int = 2, rows: int = 1200, longest: int = 20_000) -> Model:
-    """Fit on a bounded sample: at most ``rows`` texts of each class, of at most ``longest`` characters, outside the held-out fold."""
-    texts, y, share = labelled_sample(docs, labels, label, modulus=modulus, remainder=remainder, rows=rows, longest=longest)
-    odds = share / (1 - share) * (len(y) - sum(y)) / max(1, sum(y)) if 0 < sum(y) < len(y) else 1.0
-    return train(texts, y, odds=odds)
+    """Fit on a bounded sample: at most ``rows`` texts of each class, of at most ``longest`` characters, outside the held-out fold.
+
+    One task gets the sample and trains; only the model comes to the driver.
+    """
+    found, ones, every = sample_rows(docs, labels, label, modulus=modulus, remainder=remainder, rows=rows, longest=longest)
+    share = (ones + 1) / (every + 2)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            sample = pd.concat(parts).sort_values("doc_id")
+            y = sample["y"].tolist()
+            odds = share / (1 - share) * (len(y) - sum(y)) / max(1, sum(y)) if 0 < sum(y) < len(y) else 1.0
+            model = train(sample["text"].tolist(), y, odds=odds)
+            yield pd.DataFrame({"weights": [model.table.astype("<f8").tobytes()], "bias": [model.bias], "sizes": [list(model.sizes)], "buckets": [model.buckets], "classes": [len(set(y))]})
+
+    got = found.repartition(1).mapInPandas(fit, "weights binary, bias double, sizes array<int>, buckets int, classes int").collect()
+    warn_of_missing(label, got[0]["classes"] if got else 0, ones, every, longest)
+    if not got:
+        return train([], [])
+    return Model(np.frombuffer(got[0]["weights"], dtype="<f8"), got[0]["bias"], tuple(got[0]["sizes"]), got[0]["buckets"])
 
 
 def score_quality(docs: DataFrame, model: Model, *, threshold: float = 0.7, modulus: int = 4, remainder: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import quality, subword, toxicity
 from tessera.llm.ann import fit_codebook, nearest
+from tessera.llm.sampling import labelled_sample
 from tessera.llm.subword import features, pieces
 
 
@@ -141,6 +143,23 @@ def test_training_without_usable_rows_says_so(spark):
         quality.fit_quality(docs, labels, longest=10)
 
 
+def test_quality_is_fitted_outside_the_driver(spark):
+    """The driver's Python holds the model, not the sample or the training; the model is that of the same rows trained here."""
+    rows = [(k, f"{t} " * (19_000 // len(t)), good) for k, t, good, _ in corpus(random.Random(8))[:160]]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        model = quality.fit_quality(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.table.nbytes < 1_000_000 and peak < 6_000_000
+    texts, y, share = labelled_sample(docs, labels, "quality", modulus=4, remainder=2, rows=1200, longest=20_000)
+    same = quality.train(texts, y, odds=share / (1 - share) * (len(y) - sum(y)) / sum(y))
+    assert np.array_equal(model.table, same.table) and model.bias == same.bias and (model.sizes, model.buckets) == (same.sizes, same.buckets)
+
+
 def test_features_by_definition():
     texts = ["ab abc  abc\tx", "", None, "x x é"]
     for first, last, data, starts, old in pieces(texts):
